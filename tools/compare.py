@@ -40,8 +40,10 @@ def canonical(columns: list[str], rows: list[tuple]) -> list[tuple]:
 
 
 def compare(spark, con, name: str, folder: str) -> str:
+    start = time.time()
     df = QUERIES[name](spark, folder)
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
+    print(f"{name:28s} {time.time() - start:6.1f}s", end=" ", flush=True)
     if name not in ORACLES:
         return f"rows only ({len(got)})"
     cur = con.execute(ORACLES[name])
@@ -71,7 +73,7 @@ def main() -> None:
         except Exception as error:  # report and go on with the other queries
             result = f"ERROR {type(error).__name__}: {str(error)[:700]}"
         bad += not result.startswith(("ok", "rows"))
-        print(f"{name:28s} {time.time() - start:6.1f}s  {result}", flush=True)
+        print(f"{time.time() - start:6.1f}s  {result}", flush=True)
     print("failed:", bad)
 
 

@@ -134,7 +134,12 @@ def split_join(left: DataFrame, right: DataFrame, key: list[str],
            .withColumn("_j", F.pmod(deal_r, F.col("_rp")))
            .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_lp") - 1)))
            .drop("_ln", "_rn", "_lp", "_rp"))
-    return lhs.join(rhs, key + ["_i", "_j"]).drop("_i", "_j")
+    # A few input bytes can become many pairs, so the partition count is set, not derived
+    # from input size, and neither side is broadcast; hot keys are already dealt out.
+    on = key + ["_i", "_j"]
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (lhs.repartition(n, *on).hint("merge").join(rhs.repartition(n, *on), on)
+            .drop("_i", "_j"))
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list[Column], n: int = 1,

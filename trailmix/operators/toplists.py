@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .logs import dedupe_last, global_mean, item_names, item_stats
 from .spread import first_per_group, global_index, positions
 
@@ -124,12 +125,18 @@ def mean_filled_lists(predictions: DataFrame, train: DataFrame, n: int = TOP_N)
     """
     names = item_names(train)
     seen = train.select("user_id", "item_id").distinct()
-    open_preds = mask_seen(predictions.select("user_id", "item_id", "score"), seen)
-    blocked = seen.unionByName(open_preds.select("user_id", "item_id"))
+    mu = global_mean(train).withColumn("mu", F.round("mu", SCORE_DIGITS)).scalar()
+    lists = materialize(top_n_names(predictions, seen, names, n))
+    # a user whose n best predictions all beat the mean never reaches the tier
+    above = lists.where(F.col("score") > mu).groupBy("user_id").agg(F.count("*").alias("_above"))
+    done = above.where(F.col("_above") >= n).select("user_id")
+    users = materialize(train.select("user_id").distinct().join(done, "user_id", "left_anti"))
+    blocked = (seen.unionByName(predictions.select("user_id", "item_id"))
+               .join(users, "user_id", "left_semi").distinct())
     items = global_index(names.withColumn("score", F.lit(0.0)), [F.col("item_id")], "place")
-    tier = (shared_order_lists(items, train.select("user_id").distinct(), blocked, n)
-            .select("user_id", "item_id", global_mean(train).scalar().alias("score")))
-    return top_n_names(open_preds.unionByName(tier), None, names, n)
+    tier = (shared_order_lists(items, users, blocked, n)
+            .select("user_id", "item_id", mu.alias("score")))
+    return top_n_names(lists.select("user_id", "item_id", "score").unionByName(tier), None, names, n)
 
 
 def rated_pairs(train: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import logs
-from ..sources import tables
+from ..session import materialize
+from ..sources import store, tables
 from .registry import part
 
 # Rank-based lists need a lower limit on the small test catalogs.
@@ -25,6 +26,17 @@ def train(spark: SparkSession, folder: str) -> DataFrame:
     return split(spark, folder)[0]
 
 
+def stored_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The split written once, for rankers that read it several times."""
+    path = store.scratch_path(spark, "split")
+    store.write_split(*split(spark, folder), path)
+    return store.read_split(spark, path)
+
+
+def stored_train(spark: SparkSession, folder: str) -> DataFrame:
+    return materialize(train(spark, folder), "train")
+
+
 def events_train(spark: SparkSession, folder: str) -> DataFrame:
     return logs.leave_one_out(tables.clicks(spark, folder))[0]
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_RAW: dict[str, str] = {}
 PARTS: dict[str, str] = {}
 
 
@@ -46,12 +46,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = statement(sql)
+            _RAW[name] = sql
         return fn
 
     return register
 
 
+def oracles() -> dict[str, str]:
+    """SQL of every query that has one, with the shared parts prepended."""
+    return {name: statement(sql) for name, sql in _RAW.items()}
+
+
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     """Round result columns; adding 0.0 turns a negative zero into zero."""
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in cols})

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import display_name, parse_date
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path  # noqa: F401  (part of this module's interface)
 
 # The columns of a review export that are read.
 REVIEW_COLUMNS = ("user_id", "business_id", "business_name", "stars", "date")
@@ -23,12 +21,6 @@ RECS_SCHEMA = "user_id string, recs array<string>, recs_raw array<string>"
 CATALOG_SCHEMA = "item_id string, name string, norm_name string"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the shared checkpoints."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def _read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
     """All columns as text, the wanted ones selected, each row with its place in the files."""
     header = spark.read.option("header", True).csv(path).columns       # reads one line
