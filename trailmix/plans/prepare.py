@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as tf
 from ..operators import generated, logs, sequences, spread, toplists
 from ..sources import store, tables
-from .inputs import events_train, log, split, train
+from .inputs import log, split, train
 from .registry import longs, part, query, rounded
 
 EPOCH = "CAST(epoch(ts) AS BIGINT)"
@@ -125,14 +125,18 @@ def star_bucket(spark, d):
     return items.select("item_id", tf.star_bucket(F.col("mean_rating"), logs.global_mean(fit).scalar()).alias("bucket"))
 
 
-@query("name_tokens", """
-WITH toks AS (SELECT p_partkey AS item_id, unnest(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+')) AS token FROM part),
-sums AS (SELECT DISTINCT token, list_reduce(
+part("tok_rows", """
+SELECT p_partkey AS item_id, unnest(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+')) AS token FROM part""")
+# CRC-32 spelled out, as DuckDB has no function for it.
+part("tok_buckets", """
+SELECT token, CAST(xor(list_reduce(
     list_prepend(4294967295::UBIGINT, list_transform(string_split(token, ''), lambda c: ord(c)::UBIGINT)),
     lambda acc, byte: list_reduce(list_prepend(xor(acc, byte), range(8)::UBIGINT[]),
-      lambda crc, step: CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384::UBIGINT) ELSE crc >> 1 END)) AS crc
-  FROM (SELECT DISTINCT token FROM toks))
-SELECT item_id, token, CAST(xor(crc, 4294967295::UBIGINT) % 8192 AS BIGINT) AS bucket FROM toks JOIN sums USING (token)""")
+      lambda crc, step: CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384::UBIGINT) ELSE crc >> 1 END)),
+  4294967295::UBIGINT) % 8192 AS BIGINT) AS bucket FROM (SELECT DISTINCT token FROM tok_rows)""")
+
+
+@query("name_tokens", "SELECT item_id, token, bucket FROM tok_rows JOIN tok_buckets USING (token)")
 def name_tokens(spark, d):
     name = F.col("name")
     pairs = F.arrays_zip(tf.name_tokens(name).alias("token"), tf.hash_tokens(name).alias("bucket"))
