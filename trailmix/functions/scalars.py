@@ -56,6 +56,4 @@ def coarse(value: Column, data_type: T.DataType, width: int = 4096) -> Column:
         return F.to_date(value)
     if isinstance(data_type, T.NumericType):
         return F.floor(value / F.lit(width))
-    if isinstance(data_type, T.StringType):
-        return F.substring(value, 1, 2)
     raise TypeError(f"no coarse bucket for {data_type}")

@@ -44,14 +44,20 @@ def cohort(log: DataFrame, min_rows: int = MIN_REVIEWS) -> DataFrame:
     return log.join(keep, "user_id", "left_semi")
 
 
-def leave_one_out(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(train, held out): the newest row of each user is held out.
+def held_out(log: DataFrame) -> DataFrame:
+    """The newest row of each user, by a rank-limited window that prunes before the shuffle."""
+    return first_per_group(log, ["user_id"], newest_first())
+
+
+def without_held_out(log: DataFrame, test: DataFrame) -> DataFrame:
+    """All other rows, by an anti join on the unique row key, which spreads a heavy user's rows."""
+    return log.join(test.select(*ROW_KEY), ROW_KEY, "left_anti")
 
-    The held-out row is found by a rank-limited window (pruned before the shuffle); the
-    rest by an anti join on the unique row key, which spreads a heavy user's rows.
-    """
-    last = first_per_group(log, ["user_id"], newest_first())
-    return log.join(last.select(*ROW_KEY), ROW_KEY, "left_anti"), last
+
+def leave_one_out(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(train, held out): the newest row of each user is held out."""
+    test = held_out(log)
+    return without_held_out(log, test), test
 
 
 def dedupe_last(log: DataFrame, keys: tuple[str, ...] = ("user_id", "item_id")) -> DataFrame:

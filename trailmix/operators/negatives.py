@@ -61,7 +61,7 @@ def sample_negatives(positives: DataFrame, seen: DataFrame, items: DataFrame, n:
     users = open_rows.select("user_id").distinct()
     own = (seen.join(users, "user_id", "left_semi").join(index, "item_id")
            .select("user_id", "idx"))
-    gaps = positions(own, ["user_id"], ["idx"]).select(
+    gaps = positions(own, ["user_id"], ["idx"], dense=True).select(
         "user_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"),
         F.lit(None).cast("int").alias("slot"), (F.col("idx") - F.col("pos") + 1).alias("_v"), F.lit(1).alias("_one"))
     n_own = own.groupBy("user_id").agg(F.count("*").alias("_n"))

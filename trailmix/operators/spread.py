@@ -40,12 +40,39 @@ def running_total(df: DataFrame, group: list[str], bucket: Column, order: list[C
             .drop("_piece", "_value", "_start", "_within"))
 
 
+def global_index(df: DataFrame, order: list[Column], out: str = "idx") -> DataFrame:
+    """0-based position of every row in one global order, by a range-partitioned sort.
+
+    Only one offset per partition meets in one place, never the rows.
+    """
+    ordered = materialize(df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ordered.groupBy(part.alias("_part")).count()
+    starts = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    # one row per partition of the sort, hence safe to broadcast
+    return (ordered.withColumn("_part", part)
+            .join(F.broadcast(starts), "_part")
+            .withColumn(out, F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)))
+            .drop("_part", "_start", "_row"))
+
+
 def positions(df: DataFrame, group: list[str], order: list[str], out: str = "pos",
-              width: int = 4096) -> DataFrame:
-    """1-based position of each row in its group; ``order`` must be unique in the group."""
-    first = df.schema[order[0]].dataType
-    return running_total(df, group, coarse(F.col(order[0]), first, width),
-                         [F.col(c) for c in order], F.lit(1), out)
+              dense: bool = False) -> DataFrame:
+    """1-based position of each row in its group; ``order`` must be unique in the group.
+
+    Time orders are cut by day and ``dense`` orders (numbers without large gaps) by width, so
+    the table of pieces stays small. Any other order goes through one range-partitioned sort
+    by (group, order), which splits a long group wherever its rows lie.
+    """
+    lead = df.schema[order[0]].dataType
+    if dense or isinstance(lead, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+        return running_total(df, group, coarse(F.col(order[0]), lead),
+                             [F.col(c) for c in order], F.lit(1), out)
+    placed = global_index(df, [F.col(c) for c in [*group, *order]], "_place")
+    starts = placed.groupBy(*group).agg(F.min("_place").alias("_first"))
+    return (placed.join(starts, group).withColumn(out, F.col("_place") - F.col("_first") + 1)
+            .drop("_place", "_first"))
 
 
 def sequence_blocks(df: DataFrame, pos: str = "pos", halo: int = 1,
@@ -64,23 +91,6 @@ def sequence_blocks(df: DataFrame, pos: str = "pos", halo: int = 1,
             .withColumn("is_halo", F.col("block_no") != own))
 
 
-def global_index(df: DataFrame, order: list[Column], out: str = "idx") -> DataFrame:
-    """0-based position of every row in one global order, by a range-partitioned sort.
-
-    Only one offset per partition meets in one place, never the rows.
-    """
-    ordered = materialize(df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
-    part = F.shiftright("_row", 33)
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sizes = ordered.groupBy(part.alias("_part")).count()
-    starts = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    # one row per partition of the sort, hence safe to broadcast
-    return (ordered.withColumn("_part", part)
-            .join(F.broadcast(starts), "_part")
-            .withColumn(out, F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)))
-            .drop("_part", "_start", "_row"))
-
-
 def first_by_digest(df: DataFrame, keys: list[str], seed: int, n: Column, out: str) -> DataFrame:
     """Flag exactly ``n`` rows, chosen by the digest of their unique ``keys``.
 
@@ -149,7 +159,3 @@ def first_per_group(df: DataFrame, group: list[str], order: list[Column], n: int
     w = W.partitionBy(*group).orderBy(*order)
     out = df.withColumn(col, F.row_number().over(w)).where(F.col(col) <= n)
     return out if rank else out.drop(col)
-
-
-def is_numeric(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, T.NumericType)

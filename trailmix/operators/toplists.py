@@ -67,7 +67,7 @@ def shared_order_lists(items: DataFrame, users: DataFrame, blocked: DataFrame,
     and of a name with k blocked items the first k + 1 items. That is linear in
     users + blocked rows, never users x items. Result: user_id, item_id, name, score, place.
     """
-    branches = positions(items, ["name"], ["place"], out="branch")
+    branches = positions(items, ["name"], ["place"], out="branch", dense=True)
     firsts = branches.where(F.col("branch") == 1)
     firsts = global_index(firsts, [F.col("place")], "name_place")
     n_names = firsts.agg(F.count("*")).scalar()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import logs
 from ..session import materialize
-from ..sources import store, tables
+from ..sources import tables
 from .registry import part
 
 # Rank-based lists need a lower limit on the small test catalogs.
@@ -28,13 +28,13 @@ def train(spark: SparkSession, folder: str) -> DataFrame:
 
 def stored_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The split written once, for rankers that read it several times."""
-    path = store.scratch_path(spark, "split")
-    store.write_split(*split(spark, folder), path)
-    return store.read_split(spark, path)
+    rows = log(spark, folder)
+    test = materialize(logs.held_out(rows), "test")
+    return materialize(logs.without_held_out(rows, test), "train"), test
 
 
 def stored_train(spark: SparkSession, folder: str) -> DataFrame:
-    return materialize(train(spark, folder), "train")
+    return stored_split(spark, folder)[0]
 
 
 def events_train(spark: SparkSession, folder: str) -> DataFrame:

@@ -104,7 +104,7 @@ def _stand_in(train):
 def blocked_topn(spark, d):
     train = stored_train(spark, d)
     users, items = _stand_in(train)
-    return list_columns(blocks.blocked_topn(users, items, train, logs.item_names(train), block=512))
+    return list_columns(blocks.blocked_topn(users, items, train, logs.item_names(train), block=1024))
 
 
 @query("user_item_cross", """

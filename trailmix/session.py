@@ -20,6 +20,8 @@ def local_session(name: str = "trailmix", cores: int | str = 8, partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # lets rank limits up to the deepest walk ranking prune before the shuffle
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "2000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
