@@ -11,7 +11,7 @@ from trailmix.plans import ORACLES, QUERIES
 FOLDER = "/root/testdata/sf0.001"
 CHECKED = ("interactions", "split_anti", "name_tokens", "dense_index", "sliding_examples", "consecutive_pairs",
            "random_split", "top_n_depth_limited", "popularity", "item_msd_sim", "item_knn", "knn_pair_predict",
-           "sar_rank", "metrics_table", "rating_protocol", "model_selection", "generated_list_cleanup",
+           "sar_rank", "rating_protocol", "model_selection", "generated_list_cleanup",
            "generation_diagnostics", "random_walk_visits", "importance_neighborhood", "sample_negatives",
            "hard_negative_band", "margin_loss_eval", "item_content_vector", "embed_catalog", "blocked_topn",
            "homefeed_rank", "cross_features")

@@ -118,6 +118,11 @@ def _with_pieces(df: DataFrame, key: list[str], sizes: DataFrame, piece: int) ->
             .withColumn("_rp", F.coalesce(F.ceil(F.col("_rn") / piece), F.lit(1))))
 
 
+def spread_out(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash partitioning that adaptive execution keeps: for steps that do much work per byte."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def split_join(left: DataFrame, right: DataFrame, key: list[str],
                left_sizes: DataFrame | None = None, right_sizes: DataFrame | None = None,
                piece: int = JOIN_PIECE) -> DataFrame:
@@ -147,9 +152,7 @@ def split_join(left: DataFrame, right: DataFrame, key: list[str],
     # A few input bytes can become many pairs, so the partition count is set, not derived
     # from input size, and neither side is broadcast; hot keys are already dealt out.
     on = key + ["_i", "_j"]
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (lhs.repartition(n, *on).hint("merge").join(rhs.repartition(n, *on), on)
-            .drop("_i", "_j"))
+    return spread_out(lhs, on).hint("merge").join(spread_out(rhs, on), on).drop("_i", "_j")
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list[Column], n: int = 1,

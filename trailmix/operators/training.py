@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from ..functions import key_digest
 from ..session import materialize
+from .spread import spread_out
 
 # Examples of one chunk, and of one vectorised gradient step inside it.
-CHUNK_ROWS = 200_000
+CHUNK_ROWS = 50_000
 STEP_ROWS = 128
 
 LocalStep = Callable[[np.ndarray, np.ndarray, np.ndarray], None]
@@ -87,7 +88,8 @@ def mixing_round(examples: DataFrame, params: DataFrame, step: LocalStep, passes
     A row with pass_no -1 takes part in every local pass, others in their own pass only.
     """
     needs = examples.select(F.col("chunk").alias("need"), F.explode("keys").alias("key")).distinct()
-    local = needs.join(params, "key")
+    local = spread_out(needs.join(params, "key"), ["need"])
+    examples = spread_out(examples, ["chunk"])
     out = examples.groupBy("chunk").cogroup(local.groupBy("need")).applyInPandas(
         _local(step, passes, seed), "key string, vec array<double>, uses double")
     mixed = (out.select("key", array_to_vector("vec").alias("v"), "uses").groupBy("key")
@@ -134,7 +136,10 @@ def pairwise_step(lr: float, reg: float) -> LocalStep:
 
 
 def logistic_step(lr: float, reg: float) -> LocalStep:
-    """Log loss of sum of weights plus all pairwise vector products of the fields."""
+    """Log loss of the sum of weights plus all pairwise vector products of the fields.
+
+    The first field is the bias: it has a weight only.
+    """
     def step(table: np.ndarray, fields: np.ndarray, y: np.ndarray) -> None:
         x = table[fields]                                        # examples x fields x (1 + factors)
         total = x[:, :, 1:].sum(axis=1)
@@ -143,6 +148,7 @@ def logistic_step(lr: float, reg: float) -> LocalStep:
         grad = np.empty_like(x)
         grad[:, :, 0] = err[:, None]
         grad[:, :, 1:] = err[:, None, None] * (total[:, None, :] - x[:, :, 1:])
+        grad[:, 0, 1:] = 0.0
         # a value shared by many examples of the step moves by the mean of their gradients
         flat = fields.ravel()
         share = 1.0 / np.bincount(flat, minlength=len(table))[flat]

@@ -185,12 +185,17 @@ part("em_idx", "SELECT vec_id AS item_id, embedding::DOUBLE[] AS z, row_number()
 part("ck_bneg", f"""
 SELECT batch, slot, item_id AS negative FROM (SELECT DISTINCT batch FROM ck_pairs), range(8) t(slot)
 JOIN em_idx ON idx = {draw_sql('batch', 'slot', "'shared'", 42)} % (SELECT count(*) FROM em_idx)""")
-part("ck_hard", f"""
-SELECT p.user_id, p.pos, p.q, p.i, slot, CASE WHEN av > 0 THEN r.dst ELSE x.item_id END AS negative
-FROM (SELECT p.*, slot, greatest(least(coalesce(n_hit, 0), {BAND[1]}) - {BAND[0]}, 0) AS av, {draw_sql('p.user_id', 'p.pos', 'slot', "'hard'", 42)} AS dr
-      FROM ck_pairs p LEFT JOIN (SELECT DISTINCT src, n_hit FROM cg_ranked) h ON h.src = p.q, range(2) t(slot)) p
-LEFT JOIN cg_ranked r ON r.src = p.q AND av > 0 AND r.rank = {BAND[0]} + dr % greatest(av, 1) + 1
-JOIN ck_idx x ON x.idx = dr % (SELECT count(*) FROM ck_idx)""")
+part("cg_hit", "SELECT src, count(*) AS n_hit FROM cg_ranked GROUP BY src")
+part("ck_slots", f"""
+SELECT p.user_id, p.pos, p.q, p.i, slot, greatest(least(coalesce(n_hit, 0), {BAND[1]}) - {BAND[0]}, 0) AS av,
+  {draw_sql('p.user_id', 'p.pos', 'slot', "'hard'", 42)} AS dr
+FROM ck_pairs p LEFT JOIN cg_hit h ON h.src = p.q CROSS JOIN range(2) t(slot)""")
+part("ck_near", f"""
+SELECT user_id, pos, q, i, slot, {BAND[0]} + dr % av + 1 AS rank FROM ck_slots WHERE av > 0""")
+part("ck_far", "SELECT user_id, pos, q, i, slot, dr % (SELECT count(*) FROM ck_idx) AS idx FROM ck_slots WHERE av = 0")
+part("ck_hard", """
+SELECT n.user_id, n.pos, n.q, n.i, n.slot, r.dst AS negative FROM ck_near n JOIN cg_ranked r ON r.src = n.q AND r.rank = n.rank
+UNION ALL SELECT f.user_id, f.pos, f.q, f.i, f.slot, x.item_id FROM ck_far f JOIN ck_idx x USING (idx)""")
 
 
 def click_batches(spark, d):
