@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, urls
+from . import mixing, packing, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,3 +31,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_url_filters", urls.JUDGED_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged(read(spark, folder, "pages"), urls.rule_table(spark))
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(read(spark, folder, "documents"))

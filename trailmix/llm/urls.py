@@ -30,7 +30,7 @@ def address(url: Column) -> Column:
 
 def _attribute(tag: Column, name: str) -> Column:
     found = [F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*{value}", 1)
-             for value in ('"([^"]*)"', "'([^']*)'", "([^\s\"'<>]+)")]
+             for value in ('"([^"]*)"', "'([^']*)'", r"([^\s\"'<>]+)")]
     return F.trim(F.coalesce(*[F.when(x != "", x) for x in found], F.lit("")))
 
 
