@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, urls
+from . import langid, mixing, packing, quality, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -36,3 +36,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(read(spark, folder, "documents"))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identified(read(spark, folder, "documents"))
