@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality, urls
+from . import langid, mixing, packing, quality, simhash, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -46,3 +46,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_language_id")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identified(read(spark, folder, "documents"))
+
+
+@query("op4_simhash")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.grouped(read(spark, folder, "documents"))
