@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, simhash, urls
+from . import langid, mixing, packing, quality, simhash, substrings, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -51,3 +52,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_simhash")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.grouped(read(spark, folder, "documents"))
+
+
+@query("op6_substring_dedup", substrings.REPEATS_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    rows = substrings.without_repeats(read(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
