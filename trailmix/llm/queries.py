@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, simhash, substrings, urls
+from . import fingerprints, langid, mixing, packing, quality, simhash, substrings, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -58,3 +58,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     rows = substrings.without_repeats(read(spark, folder, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_fingerprints")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compared(read(spark, folder, "documents"))
