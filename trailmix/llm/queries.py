@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, packing, quality, simhash, substrings, urls
+from . import fingerprints, langid, mixing, packing, pii, quality, simhash, substrings, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -63,3 +63,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_fingerprints")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compared(read(spark, folder, "documents"))
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.reported(read(spark, folder, "documents"))
