@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, packing, pii, quality, simhash, substrings, urls
+from . import fingerprints, langid, mixing, packing, pii, quality, secrets, simhash, substrings, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -68,3 +68,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_pii")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pii.reported(read(spark, folder, "documents"))
+
+
+@query("op3_secret_scans")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.findings(read(spark, folder, "documents"))
