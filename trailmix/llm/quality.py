@@ -201,5 +201,5 @@ def judged(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int =
 
 def kept(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The documents that pass, with their own columns."""
-    rows = measured(docs, fit(docs, labels, sample), docs.columns, least)
-    return rows.where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return measured(whole, fit(docs, labels, sample), ["_row"], least).where("_kept").select("_row.*")

@@ -134,18 +134,21 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", least: float = LEAST) -> D
 
     A column ``n_chars``, where there is one, is counted again for changed texts.
     """
-    names = [f"`{c}`" for c in docs.columns]
-    rows = scanned(docs, *[F.col(c) for c in names], least=least)
-    secret = F.filter("_found", lambda x: x["secret"])
-    rows = rows.withColumn("_secret", secret)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+    rows = scanned(whole, "_row", "text", least=least)
+    rows = rows.withColumn("_secret", F.filter("_found", lambda x: x["secret"]))
 
     def step(state, x):
         kept = F.substr(F.col("text"), state["at"] + 1, x["start"] - state["at"])
         return F.struct(x["end"].alias("at"), F.concat(state["out"], F.array(F.concat(kept, F.lit(mark)))).alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate("_secret", first, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col("text"), s["at"] + 1, F.lit(2147483647))))
-    rows = rows.withColumn("_new", F.when(F.size("_secret") > 0, new).otherwise(F.col("text")))
-    kind = dict(docs.dtypes)
-    out = {"text": F.col("_new"), "n_chars": F.when(F.size("_secret") > 0, F.char_length("_new")).otherwise(F.col("n_chars")).cast(kind["n_chars"]) if "n_chars" in kind else None}
-    return rows.select(*[out[c].alias(c) if out.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
+    new = F.aggregate("_secret", first, step, lambda s: F.concat(
+        F.array_join(s["out"], ""), F.substr(F.col("text"), s["at"] + 1, F.lit(2147483647))))
+    changed = F.size("_secret") > 0
+    rows = rows.select("_row", F.when(changed, new).otherwise(F.col("text")).alias("_new"), changed.alias("_changed"))
+    out = {c: F.col("_row")[c] for c in docs.columns}
+    out["text"] = F.col("_new")
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("_changed"), F.char_length("_new")).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[column.alias(name) for name, column in out.items()])

@@ -267,7 +267,6 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
              .groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_digest", "_n")).alias("_s")))
     least = least.select(F.col("_s.doc_id").alias("_id"), F.col("_s._digest").alias("_keep"), F.col("_s._n").alias("_n"))
     least = materialize(least, "kept")
-    kept = docs.withColumn("_digest", digest).join(
-        least, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_keep")))
-    columns = [F.col(c) for c in names]
-    return kept.where("_n = 1").select(*columns).union(kept.where("_n > 1").select(*columns).distinct())
+    whole = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").alias("_doc"), digest.alias("_digest"))
+    kept = whole.join(least, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_keep")))
+    return kept.where("_n = 1").select("_row").union(kept.where("_n > 1").select("_row").distinct()).select("_row.*")
