@@ -102,8 +102,10 @@ class Windows:
 
 def _shards(values: np.ndarray, shift: int):
     """(shard, slice) of sorted values that share all but their low ``shift`` bits."""
+    if not len(values):
+        return []
     high = values >> np.uint64(shift)
-    first = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]])[:len(high)])
+    first = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]]))
     return [(int(high[i]), slice(i, j)) for i, j in zip(first, [*first[1:], len(high)], strict=True)]
 
 
