@@ -17,7 +17,9 @@ _RUN = "A-Za-z0-9_+/=.~-"
 # Long runs of key characters, values after a telling name, and private key blocks; all linear in the text.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
-    r"|(?<=(?:password|passwd|secret|api_key|apikey|pwd)[\x20]?[:=][\x20]?[\"']?)[^\s\"'<>]{6,200}+"
+    # two short looks behind come first: the long one is only tried after an assignment
+    r"|(?<=[:=\x20\"'])(?<=[:=][\x20]?[\"']?)"
+    r"(?<=(?:password|passwd|secret|api_key|apikey|pwd)[\x20]?[:=][\x20]?[\"']?)[^\s\"'<>]{6,200}+"
     rf"|(?<![{_RUN}])[{_RUN}]{{16,}}+")
 TELLING = r"token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private"
 HARMLESS = r"sha\d*|md5|commit|uuid|guid|checksum|hash|isbn|digest|href|src"
@@ -56,6 +58,12 @@ def _described(x) -> Column:
         number(tail.rlike(f"(?i)(?:{HARMLESS})")).alias("harmless"))
 
 
+def searched() -> Column:
+    """The text, or an empty one where nothing matches: most texts have no candidate, and one search tells."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.when(text.rlike(CANDIDATE), text).otherwise("")
+
+
 def candidates(text: Column) -> Column:
     return F.transform(spans(text, CANDIDATE), _described)
 
@@ -66,7 +74,8 @@ def labelled(docs: DataFrame) -> DataFrame:
     Sure secrets are private key blocks and mixed values assigned to a telling name; sure false
     positives are plain words and plain numbers. Everything between is left to the forest.
     """
-    rows = docs.select("doc_id", F.explode(candidates(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("x"))
+    texts = docs.select("doc_id", searched().alias("_t")).where("_t <> ''")
+    rows = texts.select("doc_id", F.explode(candidates(F.col("_t"))).alias("x"))
     return rows.select("doc_id", F.col("x.label").alias("label"), *[F.col(f"x.{f}").alias(f) for f in FEATURES]).where("label is not null")
 
 
@@ -90,6 +99,7 @@ def forest(findings: DataFrame, sample: int = SAMPLE):
     About ``sample`` findings of each label, chosen by doc_id, train the forest. None if only one label
     occurs; the strict rule then decides alone.
     """
+    findings = materialize(findings, "labelled")              # read twice below
     chosen = samples.by_class(findings, "label", F.col("doc_id"), sample)
     rows = materialize(chosen.select(F.col("label").cast("double").alias("y"), *FEATURES), "findings")
     if rows.select("y").distinct().count() < 2:
@@ -108,7 +118,6 @@ def scanned(docs: DataFrame, *columns, findings: DataFrame | None = None, least:
     private key block is a secret by its form. A null text has no candidate.
     """
     probability = forest(labelled(docs) if findings is None else findings)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def verdict(x):
         score = probability(x) if probability else F.coalesce(x["label"].cast("double"), F.lit(0.0))
@@ -118,8 +127,8 @@ def scanned(docs: DataFrame, *columns, findings: DataFrame | None = None, least:
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["score"].alias("score"),
                         ((x["score"] >= least) | (x["kind"] == "private_key")).alias("secret"))
 
-    found = F.transform(F.transform(candidates(text), verdict), decided)
-    return docs.select(*columns, found.alias("_found"))
+    found = F.transform(F.transform(candidates(F.col("_t")), verdict), decided)
+    return docs.select(*columns, searched().alias("_t")).select(*columns, found.alias("_found"))
 
 
 def findings(docs: DataFrame, least: float = LEAST) -> DataFrame:

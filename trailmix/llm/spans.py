@@ -15,7 +15,7 @@ def spans(text: Column, pattern: str, context: int = 40) -> Column:
     pieces between matches give the places, so the text is searched twice and never sorted or moved.
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"))
+    pairs = F.filter(F.arrays_zip(pieces.alias("p"), found.alias("m")), lambda x: x["m"].isNotNull())
 
     def step(state, pair):
         start = state["at"] + F.char_length(pair["p"])
