@@ -5,11 +5,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from trailmix.operators import ctr, evaluate, factors, logs, negatives, toplists, training
 from trailmix.session import materialize
 
+from conftest import rows_of
+
 
 @pytest.fixture(scope="module")
 def planted(make_log):
@@ -93,9 +96,16 @@ def test_click_models_learn(click_examples, planted):
     means = {r.label: r.m for r in scored.groupBy("label").agg(F.avg("score").alias("m")).collect()}
     assert means[1] > means[0] + 0.3
     net = ctr.deep_fit(ctr.deep_inputs(rows.select("user_id", "item_id", "label"), params, users, items), 6, (8, 4), 8)
-    first = ctr.ranker_lists(sides, train, 15)
-    lists = ctr.deep_lists(net, first, sides, params, users, items, train)
+    lists = ctr.deep_lists(net, sides, params, users, items, train, block=7)
     assert lists.groupBy("user_id").count().agg(F.max("count")).first()[0] == 10
+    # brute force: the fitted network on all pairs, none left out
+    pairs = users.select("user_id").crossJoin(items.select("item_id"))
+    logits = net.transform(ctr.deep_inputs(pairs, params, users, items)).select(
+        "user_id", "item_id", vector_to_array("rawPrediction").alias("r"))
+    rows = ctr.pair_scores(sides, pairs).join(logits, ["user_id", "item_id"])
+    scored = rows.select("user_id", "item_id", (F.col("score") + F.col("r")[1] - F.col("r")[0]).alias("score"))
+    want = toplists.top_n_names(scored, train, logs.item_names(train))
+    assert rows_of(lists, "user_id", "rank", "item_id") == rows_of(want, "user_id", "rank", "item_id")
 
 
 def test_field_vocabulary_does_not_overlap(click_examples):

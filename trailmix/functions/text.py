@@ -12,6 +12,11 @@ TOKEN = r"[a-z0-9]+"
 TOKEN_BUCKETS = 8192
 
 
+def strip(text: Column) -> Column:
+    """Without leading and trailing whitespace of any kind."""
+    return F.regexp_replace(text, f"^{WHITESPACE}|{WHITESPACE}$", "")
+
+
 def display_name(name: Column) -> Column:
     """Collapse whitespace runs and strip; a missing name is the word ``nan``."""
     return F.trim(F.regexp_replace(F.coalesce(name, F.lit("nan")), WHITESPACE, " "))

@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import draw, hash_tokens
+from ..functions import draw, hash_tokens, strip
 from .logs import align, dense_index
 
 # Widths of the content blocks and scale of seeded tables.
@@ -19,7 +19,7 @@ SMALL = 1e-9
 
 
 def _categories(items: DataFrame) -> DataFrame:
-    words = F.transform(F.split(F.coalesce("categories", F.lit("")), ";"), F.trim)
+    words = F.transform(F.split(F.coalesce("categories", F.lit("")), ";"), strip)
     return items.select("item_id", F.explode_outer(F.filter(words, lambda c: c != "")).alias("category"))
 
 
@@ -39,15 +39,16 @@ def name_bag(items: DataFrame) -> DataFrame:
 
 def city_index(items: DataFrame) -> DataFrame:
     """item_id, city, id: ids from the sorted cities; a missing city is ``?``."""
-    rows = items.select("item_id", F.lower(F.trim(F.coalesce("city", F.lit("?")))).alias("city"))
+    rows = items.select("item_id", F.lower(strip(F.coalesce("city", F.lit("?")))).alias("city"))
     return rows.join(dense_index(rows, "city", "id"), "city").select("item_id", "city", "id")
 
 
 def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     """Columns as z-scores with the population deviation."""
-    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    one = {k: stats.select(k).scalar() for k in stats.columns}
-    return df.withColumns({c: (F.col(c) - one[f"m_{c}"]) / (one[f"s_{c}"] + SMALL) for c in cols})
+    # one aggregate of one row, read by one subquery
+    stats = df.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))]).alias("s"))
+    rows = df.withColumn("_s", stats.scalar())
+    return rows.withColumns({c: (F.col(c) - F.col(f"_s.m_{c}")) / (F.col(f"_s.s_{c}") + SMALL) for c in cols}).drop("_s")
 
 
 def numeric_features(items: DataFrame, fit: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +14,17 @@ from ..functions import count_bucket, dot, star_bucket
 from ..functions.scalars import BUCKET_SLOTS as SLOTS
 from ..session import materialize
 from . import training as tr
-from .blocks import blocked_topn
+from .blocks import Extra, blocked_topn
 from .logs import dense_index, item_names
-from .toplists import TOP_N, top_n_names
+from .toplists import TOP_N
 
 # Fixed values: (user field, item field) of the crosses; the id x id cross is left out.
 CROSSES = ((0, 1), (0, 2), (1, 1), (2, 2))
 # Factor size and hidden layers.
 FM_FACTORS = 16
 HIDDEN = (128, 64)
+# Users and items of one block of the deep model, and hidden values held at a time inside it.
+DEEP_BLOCK, NETWORK_CELLS = 1024, 2_000_000
 USER_FIELDS, ITEM_FIELDS = ("u0", "u1", "u2"), ("i0", "i1", "i2")
 
 
@@ -193,13 +196,18 @@ def pair_scores(sides: tuple[DataFrame, DataFrame], pairs: DataFrame) -> DataFra
 
 # ---- deep part ---------------------------------------------------------------------
 
+def _factors(rows: DataFrame, col: str, names: tuple[str, ...], params: DataFrame) -> DataFrame:
+    """id, extra: the factor vectors of one side's three fields side by side."""
+    parts = [F.slice(f"e{j}", 2, F.size(f"e{j}") - 1) for j in range(3)]
+    return _side(rows, col, names, params).select(col, F.concat(*parts).alias("extra"))
+
+
 def deep_inputs(pairs: DataFrame, params: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs with ``features``: the factor vectors of their six fields side by side."""
-    u = _side(users, "user_id", USER_FIELDS, params).select("user_id", *[F.col(f"e{j}").alias(f"a{j}") for j in range(3)])
-    i = _side(items, "item_id", ITEM_FIELDS, params).select("item_id", *[F.col(f"e{j}").alias(f"b{j}") for j in range(3)])
-    parts = [F.slice(c, 2, F.size(c) - 1) for c in ("a0", "a1", "a2", "b0", "b1", "b2")]
+    u = _factors(users, "user_id", USER_FIELDS, params).withColumnRenamed("extra", "_u")
+    i = _factors(items, "item_id", ITEM_FIELDS, params).withColumnRenamed("extra", "_i")
     return (pairs.join(u, "user_id").join(i, "item_id")
-            .withColumn("features", array_to_vector(F.concat(*parts))).drop("a0", "a1", "a2", "b0", "b1", "b2"))
+            .withColumn("features", array_to_vector(F.concat("_u", "_i"))).drop("_u", "_i"))
 
 
 def deep_fit(inputs: DataFrame, factors: int = FM_FACTORS, hidden: tuple[int, ...] = HIDDEN, iters: int = 50,
@@ -210,13 +218,45 @@ def deep_fit(inputs: DataFrame, factors: int = FM_FACTORS, hidden: tuple[int, ..
     return net.fit(inputs.select("features", F.col("label").cast("double").alias("label")))
 
 
-def deep_lists(model, first: DataFrame, base: tuple[DataFrame, DataFrame], params: DataFrame, users: DataFrame,
-               items: DataFrame, train: DataFrame, n: int = TOP_N) -> DataFrame:
-    """Re-ranked lists of candidates ``first`` (user_id, item_id): base score + network logit."""
-    cands = first.select("user_id", "item_id")
-    logit = vector_to_array("rawPrediction")
-    deep = model.transform(deep_inputs(cands, params, users, items)).select(
-        "user_id", "item_id", (logit[1] - logit[0]).alias("_d"))
-    both = pair_scores(base, cands).join(deep, ["user_id", "item_id"]).select(
-        "user_id", "item_id", (F.col("score") + F.col("_d")).alias("score"))
-    return top_n_names(both, train, item_names(train), n)
+def network_layers(model) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(weights, intercepts) of a fitted network's layers; their size depends on the widths only."""
+    widths, flat, at, out = list(model.getLayers()), model.weights.toArray(), 0, []
+    for n_in, n_out in zip(widths, widths[1:]):
+        weights = flat[at:at + n_in * n_out].reshape(n_in, n_out)
+        out.append((weights, flat[at + n_in * n_out:at + (n_in + 1) * n_out]))
+        at += (n_in + 1) * n_out
+    return out
+
+
+def network_scores(layers: list[tuple[np.ndarray, np.ndarray]], cells: int = NETWORK_CELLS) -> Extra:
+    """Adds the network's logit for every (user, item) of a block.
+
+    The first layer is linear in the two sides' inputs, so each side is multiplied once; only its sum,
+    the activation and the smaller layers are per pair, for ``cells`` hidden values at a time.
+    """
+    (first, first_b), *hidden, (last, last_b) = layers
+    out_w, out_b = last[:, 1] - last[:, 0], last_b[1] - last_b[0]
+
+    def add(scores: np.ndarray, users: np.ndarray, items: np.ndarray) -> None:
+        left = users @ first[:users.shape[1]] + first_b
+        right = items @ first[users.shape[1]:]
+        step = max(1, cells // max(1, right.size))
+        for s in range(0, len(left), step):
+            x = _sigmoid(left[s:s + step, None, :] + right[None, :, :])
+            for w, b in hidden:
+                x = _sigmoid(x @ w + b)
+            scores[s:s + step] += x @ out_w + out_b
+
+    return add
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1.0 + np.tanh(0.5 * x))
+
+
+def deep_lists(model, base: tuple[DataFrame, DataFrame], params: DataFrame, users: DataFrame, items: DataFrame,
+               train: DataFrame, n: int = TOP_N, block: int = DEEP_BLOCK) -> DataFrame:
+    """Lists over all items by base score + network logit; every unseen (user, item) is scored."""
+    u = base[0].join(_factors(users, "user_id", USER_FIELDS, params), "user_id")
+    i = base[1].join(_factors(items, "item_id", ITEM_FIELDS, params), "item_id")
+    return blocked_topn(u, i, train, item_names(train), n, block=block, extra=network_scores(network_layers(model)))

@@ -53,6 +53,8 @@ def random_walks(pairs: DataFrame, n: int = N_WALKS, length: int = WALK_LEN, res
     hop_item = to_item.select(F.col("node").alias("u"), F.col("pos").alias("p2"),
                               F.col("nbr").alias("nxt"), F.col("nbr_deg").alias("nxt_deg"))
     threads = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n < 1:
+        raise ValueError("at least one chain is needed")
     chain = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     walkers = (to_user.where("pos = 1").select(F.col("node").alias("src"), F.col("deg").alias("src_deg"))
                .repartition(threads, "src").select("src", "src_deg", chain.alias("chain"))
@@ -76,26 +78,23 @@ def random_walks(pairs: DataFrame, n: int = N_WALKS, length: int = WALK_LEN, res
 
 
 def expected_visits(pairs: DataFrame, length: int = WALK_LEN, restart: float = RESTART,
-                    sources: DataFrame | None = None, min_mass: float = 0.0) -> DataFrame:
-    """src, dst, mass: the expectation of the visits of one chain, by power iteration.
-
-    ``min_mass`` may drop smaller masses between the steps; 0 keeps the result exact.
-    """
+                    sources: DataFrame | None = None) -> DataFrame:
+    """src, dst, mass: the expectation of the visits of one chain, by power iteration."""
     edges = materialize(pairs.select("user_id", "item_id"), "edges")
     by_item = edges.groupBy("item_id").agg(F.count("*").alias("n"))
     by_user = edges.groupBy("user_id").agg(F.count("*").alias("n"))
     to_user = edges.join(by_item, "item_id").select("item_id", "user_id", (1.0 / F.col("n")).alias("w"))
     to_item = edges.join(by_user, "user_id").select("user_id", "item_id", (1.0 / F.col("n")).alias("w"))
     src = edges.select("item_id").distinct() if sources is None else sources.select("item_id").distinct()
-    whole = by_item.limit(0), by_user.limit(0)       # the mass side streams; edges of a hot node are dealt out
     origin = src.select(F.col("item_id").alias("src"), "item_id", F.lit(1.0).alias("mass"))
     state, steps = origin, []
     for _ in range(length):
-        at_user = (split_join(state, to_user, ["item_id"], whole[0], by_item)
+        # a popular node holds a mass row for each source: both sides of its join are dealt out
+        at_user = (split_join(state, to_user, ["item_id"], None, by_item)
                    .groupBy("src", "user_id").agg(F.sum(F.col("mass") * F.col("w")).alias("mass")))
-        visit = (split_join(at_user, to_item, ["user_id"], whole[1], by_user)
+        visit = (split_join(at_user, to_item, ["user_id"], None, by_user)
                  .groupBy("src", "item_id").agg(F.sum(F.col("mass") * F.col("w")).alias("mass")))
-        visit = materialize(visit.where(F.col("mass") > min_mass), "visits")
+        visit = materialize(visit, "visits")
         steps.append(visit)
         state = (visit.select("src", "item_id", (F.col("mass") * (1 - restart)).alias("mass"))
                  .unionByName(origin.withColumn("mass", F.lit(restart)))

@@ -60,6 +60,14 @@ def leave_one_out(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return without_held_out(log, test), test
 
 
+def check_split(log: DataFrame, train: DataFrame, test: DataFrame) -> None:
+    """Fail unless train and held-out rows together are as many as the log's, one held out per user."""
+    n_log, n_train, n_test = log.count(), train.count(), test.count()
+    users = log.agg(F.count_distinct("user_id")).first()[0]
+    if n_train + n_test != n_log or n_test != users:
+        raise ValueError(f"split of {n_log} rows and {users} users gives {n_train} train and {n_test} held-out rows")
+
+
 def dedupe_last(log: DataFrame, keys: tuple[str, ...] = ("user_id", "item_id")) -> DataFrame:
     """One row per key: the newest."""
     return first_per_group(log, list(keys), newest_first())

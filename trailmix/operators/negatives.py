@@ -30,6 +30,11 @@ def hard_count(epoch: int, ceiling: int = MAX_HARD) -> int:
     return max(0, min(epoch - 1, ceiling))
 
 
+def slots(n: int):
+    """One row for each of 0..n-1; none for n = 0, where a sequence would count down."""
+    return F.explode(F.array(*[F.lit(k) for k in range(n)]) if n else F.array().cast("array<int>"))
+
+
 def _n_rows(df: DataFrame):
     return df.agg(F.count("*")).scalar()
 
@@ -48,7 +53,7 @@ def sample_negatives(positives: DataFrame, seen: DataFrame, items: DataFrame, n:
     lookup = index.select(F.col("idx").alias("_idx"), F.col("item_id").alias("negative"))
     seen = seen.select("user_id", "item_id").distinct()
     taken = seen.select("user_id", F.col("item_id").alias("negative"), F.lit(True).alias("_taken"))
-    slot = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    slot = slots(n)
     open_rows = positives.select("user_id", "item_id", slot.alias("slot"))
     keys = ["user_id", "item_id", "slot"]
     found = []
@@ -97,9 +102,8 @@ def with_batches(pairs: DataFrame, keys: list[str], batch: int = BATCH, seed: in
 def batch_items(pairs: DataFrame, items: DataFrame, n: int = N_SHARED, seed: int = 42) -> DataFrame:
     """batch, slot, negative: ``n`` uniform items per batch."""
     index = dense_index(items, "item_id")
-    slot = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    slots = pairs.select("batch").distinct().select("batch", slot.alias("slot"))
-    return (slots.withColumn("idx", draw(F.col("batch"), F.col("slot"), "shared", seed) % _n_rows(index))
+    drawn = pairs.select("batch").distinct().select("batch", slots(n).alias("slot"))
+    return (drawn.withColumn("idx", draw(F.col("batch"), F.col("slot"), "shared", seed) % _n_rows(index))
             .join(index, "idx").select("batch", "slot", F.col("item_id").alias("negative")))
 
 
@@ -112,14 +116,15 @@ def hard_negatives(ranked: DataFrame, n_hit: DataFrame, items: DataFrame, pairs:
                    h: int, band: tuple[int, int] = HARD_BAND, seed: int = 42) -> DataFrame:
     """keys, q, i, slot, negative: ``h`` items per pair from a band of the query's ranking.
 
-    0-based ranks lo..hi-1, limited to what the query reached; a query that reached no
-    more than ``lo`` items gets uniform items.
+    0-based ranks lo..hi-1, limited to what the query reached and to the depth its ranking is
+    stored to; a query with no more than ``lo`` such ranks gets uniform items. ``h`` = 0 gives no rows.
     """
     lo, hi = band
     index = materialize(dense_index(items, "item_id"), "index")
-    avail = F.greatest(F.least(F.col("n_hit"), F.lit(hi)) - lo, F.lit(0))
-    slot = F.explode(F.sequence(F.lit(0), F.lit(h - 1)))
-    rows = (pairs.select(*keys, "q", "i").join(n_hit.withColumnRenamed("src", "q"), "q")
+    depth = ranked.groupBy(F.col("src").alias("q")).agg(F.max("rank").alias("_depth"))
+    avail = F.greatest(F.least(F.col("n_hit"), F.coalesce("_depth", F.lit(0)), F.lit(hi)) - lo, F.lit(0))
+    slot = slots(h)
+    rows = (pairs.select(*keys, "q", "i").join(n_hit.withColumnRenamed("src", "q"), "q").join(depth, "q", "left")
             .select(*keys, "q", "i", avail.alias("_avail"), slot.alias("slot"))
             .withColumn("_draw", draw(*[F.col(k) for k in keys], F.col("slot"), "hard", seed)))
     near = (rows.where(F.col("_avail") > 0)

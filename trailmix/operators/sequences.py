@@ -75,8 +75,8 @@ def consecutive_pairs(train: DataFrame) -> DataFrame:
 
 
 def recent_items(train: DataFrame, k: int = max(RECENT_CHOICES)) -> DataFrame:
-    """user_id, item_id, recency: the last ``k`` items, 1 = newest."""
-    rows = train.select("user_id", "item_id", "ts", "seq")
+    """user_id, item_id, recency: the last ``k`` distinct items, 1 = newest; a repeated item counts once."""
+    rows = dedupe_last(train).select("user_id", "item_id", "ts", "seq")
     return (first_per_group(rows, ["user_id"], newest_first(), k, rank="recency")
             .select("user_id", "item_id", "recency"))
 

@@ -221,9 +221,9 @@ def cold_targets(spark, d):
 
 @query("attribute_align", """
 SELECT i.item_id, p.city, p.lat FROM (SELECT DISTINCT item_id FROM click_rows) i
-LEFT JOIN (SELECT * FROM items_raw WHERE lat >= 10) p USING (item_id)""")
+LEFT JOIN items_raw p USING (item_id)""")
 def attribute_align(spark, d):
-    attrs = tables.parts(spark, d).where("lat >= 10").select("item_id", "city", "lat")
+    attrs = tables.parts(spark, d).select("item_id", "city", "lat")
     return logs.align(logs.distinct_values(tables.clicks(spark, d), "item_id"), attrs)
 
 
@@ -342,7 +342,9 @@ SELECT user_id, item_id, name, rn AS recency FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM tr) WHERE rn <= 20""")
 
 
-@query("recent_items", "SELECT user_id, item_id, CAST(recency AS INTEGER) AS recency FROM recent20")
+@query("recent_items", """
+SELECT user_id, item_id, CAST(rn AS INTEGER) AS recency FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM trd) WHERE rn <= 20""")
 def recent_items(spark, d):
     return sequences.recent_items(train(spark, d))
 

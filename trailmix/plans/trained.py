@@ -120,7 +120,7 @@ def user_item_cross(spark, d):
 
 
 part("feed_recent", """
-SELECT user_id, z FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) AS rn FROM ck)
+SELECT user_id, z FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) AS rn FROM ckd)
 JOIN em_idx USING (item_id) WHERE rn <= 3""")
 part("feed_scores", """
 SELECT user_id, e.item_id, max(list_inner_product(r.z, e.z)) AS score FROM feed_recent r, em_idx e GROUP BY 1, 2""")
@@ -172,12 +172,20 @@ def wide_cross_ranker(spark, d):
     return list_columns(ctr.ranker_lists(ctr.wide_sides(params, users, items), train))
 
 
-@query("deep_ranker")
-def deep_ranker(spark, d):
+def _deep(spark, d, fit, sides):
     train, users, items, rows = _examples(spark, d, n=1)
     params = ctr.fm_fit(rows, factors=4, rounds=2, passes=2)
-    base = materialize(ctr.fm_sides(params, users, items)[0]), materialize(ctr.fm_sides(params, users, items)[1])
-    first = materialize(ctr.ranker_lists(base, train, n=30))
+    base = sides(fit(rows, params), users, items)
     inputs = materialize(ctr.deep_inputs(rows.select("user_id", "item_id", "label"), params, users, items))
     net = ctr.deep_fit(inputs, factors=4, hidden=(16, 8), iters=10)
-    return list_columns(ctr.deep_lists(net, first, base, params, users, items, train))
+    return list_columns(ctr.deep_lists(net, base, params, users, items, train))
+
+
+@query("deep_ranker")
+def deep_ranker(spark, d):
+    return _deep(spark, d, lambda rows, params: params, ctr.fm_sides)
+
+
+@query("wide_deep_ranker")
+def wide_deep_ranker(spark, d):
+    return _deep(spark, d, lambda rows, params: ctr.wide_fit(rows, rounds=2, passes=2), ctr.wide_sides)

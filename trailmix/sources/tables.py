@@ -44,13 +44,12 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clicks(spark: SparkSession, folder: str) -> DataFrame:
-    """Event log: the item is the number in the event's properties; every rating is 1."""
+    """Event log: the item is the number in the event's properties, which must be there; every rating is 1."""
     events = table(spark, folder, "events").select("event_id", "ts", "user_id", "props")
-    item = F.get_json_object("props", "$.k").cast("bigint")
+    item = F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.raise_error(F.lit("event without an item")).cast("bigint"))
     return (events.select("user_id", item.alias("item_id"),
                           F.concat(F.lit("Item "), item.cast("string")).alias("name"),
-                          F.lit(1.0).alias("rating"), "ts", F.col("event_id").alias("seq"))
-            .where(F.col("item_id").isNotNull()))
+                          F.lit(1.0).alias("rating"), "ts", F.col("event_id").alias("seq")))
 
 
 def embeddings(spark: SparkSession, folder: str) -> DataFrame:
