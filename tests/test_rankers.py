@@ -85,6 +85,14 @@ def test_popularity_and_rank_based(random_log):
         lambda u, i: total[i] / raters[i] if raters[i] >= 5 else None, cells, names)
 
 
+def test_lists_do_not_depend_on_the_salted_head(random_log, monkeypatch):
+    train = random_log()
+    want = rows_of(toplists.popularity(train))
+    monkeypatch.setattr(toplists, "HEAD", 3)                 # most places lie behind the head
+    monkeypatch.setattr(toplists, "SALTS", 5)
+    assert rows_of(toplists.popularity(train)) == want
+
+
 def test_neighbour_lists_with_mean_tier(random_log):
     train = random_log(seed=11)
     cells, names, mu = matrix(train)
@@ -166,7 +174,8 @@ def test_metrics_count_users_without_lists(spark, make_log):
     assert math.isclose(row.ndcg_10, (1 + 1 / math.log2(7)) / 4)
     assert math.isclose(row.precision_10, row.hr_10 / 10) and math.isclose(row.f1_10, 2 * 0.2 / 1.1 / 4)
     table = evaluate.metrics_table({"m": recs, "none": None, "miss": recs.where("rank > 6")}, test)
-    assert rows_of(table, "model", "hr_10") == [("m", 0.5)]        # rank 11 alone is no list of ten
+    # rank 11 alone is no list of ten: such a model scores zero like one whose table is empty
+    assert rows_of(table, "model", "hr_10") == [("m", 0.5), ("miss", 0.0)]
     assert evaluate.catalog_coverage(recs).first().distinct_firsts == 1
 
 

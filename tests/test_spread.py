@@ -71,3 +71,9 @@ def test_results_do_not_depend_on_partitions(spark, random_log):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert one == again
+
+
+def test_numbered_explodes_in_bounded_steps(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 10), ("d", 11), ("e", None)], "k string, n int")
+    got = rows_of(spread.numbered(df, F.col("n"), "i", piece=5), "k", "i")
+    assert got == [("b", 0)] + [("c", i) for i in range(10)] + [("d", i) for i in range(11)]

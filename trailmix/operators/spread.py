@@ -123,6 +123,17 @@ def spread_out(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def numbered(df: DataFrame, n: Column, out: str, piece: int = 4096) -> DataFrame:
+    """Every row once for each number from 0 to ``n`` - 1 (none for 0).
+
+    Exploded in two steps, so that no array is longer than ``piece`` or ``n`` / ``piece``.
+    """
+    parts = df.withColumn("_n", n.cast("bigint")).where("_n > 0")
+    parts = parts.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / piece))))
+    first = F.col("_part") * piece
+    return parts.withColumn(out, F.explode(F.sequence(first, F.least("_n", first + piece) - 1))).drop("_n", "_part")
+
+
 def split_join(left: DataFrame, right: DataFrame, key: list[str],
                left_sizes: DataFrame | None = None, right_sizes: DataFrame | None = None,
                piece: int = JOIN_PIECE) -> DataFrame:

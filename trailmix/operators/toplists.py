@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .logs import dedupe_last, global_mean, item_names, item_stats
-from .spread import first_per_group, global_index, positions
+from .spread import first_per_group, global_index, numbered, positions
 
 # List length, and the eligibility limit of the rank-based model.
 TOP_N = 10
 MIN_RATERS = 50
 # Scores are compared after rounding: a distributed sum depends on its order.
 SCORE_DIGITS = 9
+# Places of a shared order that every user may ask for, and the groups of users they are copied for.
+HEAD, SALTS = 4096, 64
 
 
 def mask_seen(candidates: DataFrame, train: DataFrame) -> DataFrame:
@@ -73,16 +75,18 @@ def shared_order_lists(items: DataFrame, users: DataFrame, blocked: DataFrame,
     n_names = firsts.agg(F.count("*")).scalar()
     counts = blocked.groupBy("user_id").agg(F.count("*").alias("_b"))
     budget = F.least(F.coalesce(F.col("_b"), F.lit(0)) + n, n_names)
-    prefix = (users.select("user_id").join(counts, "user_id", "left")
-              .withColumn("_budget", budget).where(F.col("_budget") > 0)
-              .select("user_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_budget") - 1))
-                      .alias("name_place"))
-              .join(firsts, "name_place")
+    # Every user asks for the first places. These are copied for SALTS groups of users; a place p after
+    # them is asked for by at most |blocked| / (p - n) users.
+    head = F.col("name_place") < HEAD
+    dealt = F.when(head, F.pmod(F.xxhash64("user_id"), F.lit(SALTS))).otherwise(0).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.when(head, SALTS - 1).otherwise(0)))
+    prefix = (numbered(users.select("user_id").join(counts, "user_id", "left").select("user_id", budget.alias("_budget")),
+                       F.col("_budget"), "name_place").withColumn("_salt", dealt)
+              .join(firsts.withColumn("_salt", copies), ["name_place", "_salt"])
               .select("user_id", "item_id", "name", "score", "place"))
-    touched = (blocked.join(branches.select("item_id", "name"), "item_id")
-               .groupBy("user_id", "name").agg(F.count("*").alias("_k"))
-               .select("user_id", "name",
-                       F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_k") + 1)).alias("branch"))
+    touched = numbered(blocked.join(branches.select("item_id", "name"), "item_id")
+                       .groupBy("user_id", "name").agg(F.count("*").alias("_k")), F.col("_k") + 1, "_from")
+    touched = (touched.select("user_id", "name", (F.col("_from") + 1).alias("branch"))
                .join(branches, ["name", "branch"])
                .select("user_id", "item_id", "name", "score", "place"))
     both = prefix.unionByName(touched)
@@ -91,10 +95,10 @@ def shared_order_lists(items: DataFrame, users: DataFrame, blocked: DataFrame,
 
 def _lists_by_place(items: DataFrame, users: DataFrame, blocked: DataFrame, n: int) -> DataFrame:
     rows = shared_order_lists(items, users, blocked, n)
-    best = rows.groupBy("user_id", "name").agg(F.min("place").alias("place"))
+    best = rows.groupBy("user_id", "name").agg(F.min(F.struct("place", "item_id", "score")).alias("_best"))
+    best = best.select("user_id", "name", "_best.*")
     lists = first_per_group(best, ["user_id"], [F.col("place").asc()], n, rank="rank")
-    return (lists.join(items.select("place", "item_id", "score"), "place")
-            .select("user_id", "rank", "name", "item_id", "score"))
+    return lists.select("user_id", "rank", "name", "item_id", "score")
 
 
 def _shared_ranking(scores: DataFrame, train: DataFrame, n: int) -> DataFrame:
