@@ -204,7 +204,8 @@ def seen_name_mask(spark, d):
 
 
 @query("known_pairs", """
-SELECT user_id, item_id, rating FROM te WHERE user_id IN (SELECT user_id FROM tr) AND item_id IN (SELECT item_id FROM tr)""")
+WITH u AS MATERIALIZED (SELECT DISTINCT user_id FROM tr), i AS MATERIALIZED (SELECT DISTINCT item_id FROM tr)
+SELECT te.user_id, te.item_id, te.rating FROM te JOIN u ON te.user_id = u.user_id JOIN i ON te.item_id = i.item_id""")
 def known_pairs(spark, d):
     fit, test = split(spark, d)
     return logs.known_pairs(test, fit).select("user_id", "item_id", "rating")
