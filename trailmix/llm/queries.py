@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, packing, pii, quality, secrets, simhash, substrings, urls
+from . import audit, fingerprints, langid, mixing, packing, pii, quality, secrets, simhash, substrings, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -73,3 +73,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_secret_scans")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.findings(read(spark, folder, "documents"))
+
+
+@query("op13_filter_audit", audit.AUDITED_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audited(read(spark, folder, "documents"), read(spark, folder, "labels"))
