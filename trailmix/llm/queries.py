@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, fingerprints, langid, mixing, packing, pii, quality, secrets, simhash, substrings, urls
+from . import audit, fingerprints, langid, mixing, packing, pii, quality, secrets, simhash, substrings, toxicity, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -78,3 +78,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_filter_audit", audit.AUDITED_SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audited(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op11_toxicity")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(read(spark, folder, "documents"), read(spark, folder, "labels"))
