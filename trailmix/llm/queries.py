@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, fingerprints, langid, mixing, packing, pii, quality, secrets, simhash, substrings, toxicity, urls
+from . import alignment, audit, fingerprints, langid, mixing, packing, pii, quality, secrets, simhash, substrings, toxicity, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -83,3 +83,8 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_toxicity")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.compared(read(spark, folder, "documents"))
