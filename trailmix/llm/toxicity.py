@@ -115,7 +115,7 @@ class Lexicon:
             elif start not in hits or hits[start][0] < length:
                 hits[start] = length, weight
         for start, end in free:
-            for at in range(start, end):
+            for at in range(start, end):        # the phrase but for its last space, which begins the next word
                 hits.pop(at, None)
         found = [w for _, w in hits.values()]
         words, total = text.count(" ") - 1, float(sum(found))
