@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .alphabet import byte_alphabet
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 FREQUENT = 1_000_000        # irregular pairs whose counts travel with the tasks: 12 bytes each
@@ -29,13 +30,6 @@ SPLIT = public_tokenizers.PATTERN
 SHIFT = 1 << 32
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Byte-level vocabularies write each byte as one visible character; the others follow from 256 on."""
-    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    hidden = [b for b in range(256) if b not in visible]
-    return {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(hidden)}
-
-
 class Tokenizers:
     """Both tokenizers with the bytes of their tokens, and the identity map between them."""
 

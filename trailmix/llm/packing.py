@@ -7,10 +7,12 @@ ranked and placed by Spark.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import public_tokenizers
@@ -20,56 +22,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import materialize
+from .alphabet import byte_alphabet
 
 SIZE = 4096
 VOCABULARY = "word_bpe_49k.json"
 END = 1                     # the id after each document
-CACHED = 600_000            # words whose ids a Python worker remembers
+# How the vocabulary marks the end of a word, and the byte that stands for it here.
+WORD_END, STOP = "</w>", b"\0"
 
 PIECES = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
 
-class Encoder(dict):
-    """Ids (little-endian, 32 bits) of single white-space separated words, worked out once.
+class Encoder:
+    """Ids (little-endian, 32 bits) of a text.
 
-    The vocabulary's rules never look across white space, so a text's ids are those of its words in
-    turn. Words of Latin letters and ASCII signs go straight to the merge model; all others go
-    through the whole tokenizer. The memory is bounded: a full table starts anew.
+    The vocabulary's rules never look across white space. Words of Latin letters and ASCII signs, whole
+    runs of them at once, go through a merge engine that needs only the order of the merges: each part
+    ends in a byte that stands for the end of a word, and merging it to the part's last letter comes
+    before all else. All other words go through the whole tokenizer, also in runs. Nothing is
+    remembered from one text to the next.
     """
 
     def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        # Fixed value: the vocabulary's own splitting pattern.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.plain = regex.compile("[!-~¡-įı-ſ]+").fullmatch
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, text: str) -> bytes:
-        if text not in self.parts:
-            if len(self.parts) >= CACHED // 2:
-                self.parts.clear()
-            signs = text if text.isascii() else self.letters.pre_tokenize_str(text)[0][0]
-            self.parts[text] = np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
-        return self.parts[text]
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.plain(text) and "<|" not in text:
-            ids = b"".join(map(self.part, self.split(text.lower())))
-        else:
-            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = ids
-        return ids
+        letters = byte_alphabet()
+        ranks = {}
+        for token, k in self.whole.get_vocab(with_added_tokens=False).items():
+            name = bytes(letters[c] for c in token.removesuffix(WORD_END))
+            if STOP not in name:
+                ranks[name + STOP * token.endswith(WORD_END)] = k
+        self.merges = tiktoken.Encoding("parts", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
+        # The vocabulary's own splitting pattern, its letters and numbers those of the plain signs.
+        letter, number = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
+        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\s{letter}{number}]+").findall
+        self.odd = re.compile("[^\t-\r -~¡-įı-ſ]|<\\|").search
+
+    def plain(self, text: str) -> np.ndarray:
+        parts = self.split(text.lower())
+        parts.append("")
+        return np.array(self.merges.encode_ordinary("\0".join(parts)), "<u4")
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        whole = text.decode()
+        if not self.odd(whole):
+            return self.plain(whole).tobytes()
+        runs = ((odd, " ".join(words)) for odd, words in groupby((w.decode() for w in text.split()), lambda w: bool(self.odd(w))))
+        return b"".join((np.array(self.whole.encode(run, add_special_tokens=False).ids, "<u4") if odd else self.plain(run)).tobytes()
+                        for odd, run in runs)
 
 
 _encoders: dict[str, Encoder] = {}
