@@ -20,11 +20,14 @@ from .toplists import TOP_N
 
 # Fixed values: (user field, item field) of the crosses; the id x id cross is left out.
 CROSSES = ((0, 1), (0, 2), (1, 1), (2, 2))
-# Factor size and hidden layers.
-FM_FACTORS = 16
+# Factor size, spread of the first factors, hidden layers.
+FM_FACTORS, FM_STD = 16, 0.01
 HIDDEN = (128, 64)
 # Users and items of one block of the deep model, and hidden values held at a time inside it.
 DEEP_BLOCK, NETWORK_CELLS = 1024, 2_000_000
+# Passes over the examples, and the rate that each number's accumulated squares scale down.
+EPOCHS, RATE = 10, 0.1
+BIAS = "bias"
 USER_FIELDS, ITEM_FIELDS = ("u0", "u1", "u2"), ("i0", "i1", "i2")
 
 
@@ -91,34 +94,37 @@ def _cross_keys() -> list[Column]:
     return [_tag(f"x{j}", F.col(USER_FIELDS[a]), F.col(ITEM_FIELDS[b])) for j, (a, b) in enumerate(CROSSES)]
 
 
-def _fit(examples: DataFrame, keys: list[Column], factors: int, rounds: int, passes: int, lr: float,
-         reg: float, seed: int) -> DataFrame:
+def _fit(examples: DataFrame, keys: list[Column], factors: int, epochs: int, lr: float, reg: float, seed: int,
+         chunk_rows: int) -> DataFrame:
     """``examples``: user_id, item_id, label and the six fields."""
-    whole = F.array(F.lit("bias"), *keys)
-    rows = materialize(tr.with_chunks(examples).select(
-        "chunk", whole.alias("keys"), F.col("label").cast("double").alias("y"), F.lit(-1).alias("pass_no")), "examples")
-    params = tr.initial_rows(rows.select(F.explode("keys").alias("key")), factors, 0.01, seed)
+    whole = F.array(F.lit(BIAS), *keys)
+    rows = examples.select("user_id", "item_id", whole.alias("keys"), F.col("label").alias("y"),
+                           tr.stratum(F.col("user_id"), F.col("item_id")).alias("step"))
+    rows = tr.stored_examples(rows, chunk_rows)
+    params = tr.initial_rows(rows.needs, factors, FM_STD, seed)
     zero = F.transform("vec", lambda x: F.lit(0.0))              # the bias has no factors
-    params = materialize(params.withColumn("vec", F.when(F.col("key") == "bias", zero).otherwise(F.col("vec"))))
-    for r in range(rounds):
-        params = tr.mixing_round(rows, params, tr.logistic_step(lr, reg), passes, seed + r)
-    return params
+    params = materialize(params.select("key", F.when(F.col("key") == BIAS, zero).otherwise(F.col("vec")).alias("vec"),
+                                       zero.alias("acc")), "params")
+    for _ in range(epochs):
+        for step in range(tr.STRATA):
+            params = materialize(tr.scaled_step(rows, step, params, tr.logistic_gradient, lr, reg), "params")
+    return params.select("key", "vec")
 
 
 def with_fields(examples: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     return examples.join(users, "user_id").join(items, "item_id")
 
 
-def fm_fit(examples: DataFrame, factors: int = FM_FACTORS, rounds: int = 4, passes: int = 5, lr: float = 0.5,
-           reg: float = 1e-6, seed: int = 42) -> DataFrame:
+def fm_fit(examples: DataFrame, factors: int = FM_FACTORS, epochs: int = EPOCHS, lr: float = RATE, reg: float = 1e-6,
+           seed: int = 42, chunk_rows: int = tr.CHUNK_ROWS) -> DataFrame:
     """key, vec ([weight, factors...]) of the factorisation machine over the six fields."""
-    return _fit(examples, _keys(USER_FIELDS + ITEM_FIELDS), factors, rounds, passes, lr, reg, seed)
+    return _fit(examples, _keys(USER_FIELDS + ITEM_FIELDS), factors, epochs, lr, reg, seed, chunk_rows)
 
 
-def wide_fit(examples: DataFrame, rounds: int = 4, passes: int = 5, lr: float = 0.5, reg: float = 1e-6,
-             seed: int = 42) -> DataFrame:
+def wide_fit(examples: DataFrame, epochs: int = EPOCHS, lr: float = RATE, reg: float = 1e-6, seed: int = 42,
+             chunk_rows: int = tr.CHUNK_ROWS) -> DataFrame:
     """key, vec ([weight]) of the linear model over the six fields and the four crosses."""
-    return _fit(examples, _keys(USER_FIELDS + ITEM_FIELDS) + _cross_keys(), 0, rounds, passes, lr, reg, seed)
+    return _fit(examples, _keys(USER_FIELDS + ITEM_FIELDS) + _cross_keys(), 0, epochs, lr, reg, seed, chunk_rows)
 
 
 def _side(rows: DataFrame, col: str, names: tuple[str, ...], params: DataFrame) -> DataFrame:

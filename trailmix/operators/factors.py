@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clip, dot
+from ..functions import clip, dot, draw
 from ..session import materialize
 from . import training as tr
 from .blocks import blocked_topn
-from .logs import distinct_values, global_mean, item_names
-from .negatives import sample_negatives
-from .toplists import TOP_N, rated_pairs
+from .logs import dense_index, distinct_values, global_mean, item_names
+from .spread import numbered
+from .toplists import TOP_N
 
 # Settings of the two models.
 MF = {"k": 100, "epochs": 20, "lr": 0.01, "reg": 0.2, "std": 0.1}
 BPR = {"k": 100, "iters": 200, "lr": 0.01, "reg": 0.001}
-# Local passes between two mixings.
-PASSES = 5
+# Iterations whose triples are drawn and stored together; changes no result.
+AHEAD = 20
 
 
 def _entity_rows(params: DataFrame, ids: DataFrame, col: str, key) -> DataFrame:
@@ -36,18 +36,21 @@ def _as_items(rows: DataFrame) -> DataFrame:
 
 
 def biased_mf(train: DataFrame, k: int = MF["k"], epochs: int = MF["epochs"], lr: float = MF["lr"],
-              reg: float = MF["reg"], seed: int = 1, passes: int = PASSES) -> DataFrame:
-    """key, vec ([bias, factors...]) fitted to every train row, duplicates included."""
+              reg: float = MF["reg"], seed: int = 1, chunk_rows: int = tr.CHUNK_ROWS) -> DataFrame:
+    """key, vec ([bias, factors...]) fitted to every train row, duplicates included.
+
+    An epoch takes each (user stratum, item stratum) once; all rows of a step move their users and items
+    together, so no result depends on order or chunks.
+    """
     mu = global_mean(train).first()["mu"]                        # one number
     keys = F.array(tr.user_key(), tr.item_key())
-    examples = materialize(tr.with_chunks(train.select("user_id", "item_id", "rating")).select(
-        "chunk", keys.alias("keys"), F.col("rating").alias("y"), F.lit(-1).alias("pass_no")), "examples")
-    params = materialize(tr.initial_rows(examples.select(F.explode("keys").alias("key")), k, MF["std"], seed))
-    done = 0
-    while done < epochs:
-        step = min(passes, epochs - done)
-        params = tr.mixing_round(examples, params, tr.squared_step(mu, lr, reg), step, seed + done)
-        done += step
+    rows = train.select("user_id", "item_id", keys.alias("keys"), F.col("rating").alias("y"),
+                        tr.stratum(F.col("user_id"), F.col("item_id")).alias("step"))
+    examples = tr.stored_examples(rows, chunk_rows)
+    params = materialize(tr.initial_rows(examples.needs, k, MF["std"], seed), "params")
+    for _ in range(epochs):
+        for step in range(tr.STRATA):
+            params = materialize(tr.damped_step(examples, step, params, tr.squared_gradient(mu), lr, reg), "params")
     return params
 
 
@@ -71,22 +74,39 @@ def factor_lists(params: DataFrame, train: DataFrame, constant=None, n: int = TO
     return blocked_topn(users, items, train, item_names(train), n)
 
 
+def triples(train: DataFrame, steps: range, seed: int) -> DataFrame:
+    """user_id, item_id, step, negative: each train row once a step, with one uniformly drawn item.
+
+    Rows of a repeated pair draw on their own; a draw that hits an item the user knows is left out.
+    """
+    index = materialize(dense_index(train, "item_id"), "index")
+    total = index.agg(F.count("*")).scalar()
+    rows = numbered(train.groupBy("user_id", "item_id").agg(F.count("*").alias("n")), F.col("n"), "copy")
+    rows = rows.select("user_id", "item_id", "copy", F.explode(F.sequence(F.lit(steps[0]), F.lit(steps[-1]))).alias("step"))
+    drawn = rows.withColumn("idx", draw(F.col("user_id"), F.col("item_id"), F.col("copy"), F.col("step"), seed) % total)
+    others = index.select("idx", F.col("item_id").alias("negative"))
+    known = train.select("user_id", F.col("item_id").alias("negative")).distinct()
+    return drawn.join(others, "idx").join(known, ["user_id", "negative"], "left_anti").select(
+        "user_id", "item_id", "step", "negative")
+
+
 def bpr(train: DataFrame, k: int = BPR["k"], iters: int = BPR["iters"], lr: float = BPR["lr"],
-        reg: float = BPR["reg"], seed: int = 42, passes: int = PASSES) -> DataFrame:
-    """key, vec ([bias, factors...]) under the pairwise objective; each pass has its own negatives."""
-    pairs = materialize(rated_pairs(train))
-    items = distinct_values(pairs, "item_id")
-    ends = pairs.select(F.explode(F.array(tr.user_key(), tr.item_key())).alias("key"))
-    params = materialize(tr.initial_rows(ends, k, 1.0 / k, seed))
+        reg: float = BPR["reg"], seed: int = 42, chunk_rows: int = tr.CHUNK_ROWS) -> DataFrame:
+    """key, vec ([bias, factors...]) under the pairwise objective; every iteration has its own negatives.
+
+    Every train row takes part once an iteration, repeated ones too. Biases of users stay zero: they
+    cancel out of every comparison.
+    """
+    train = materialize(train.select("user_id", "item_id"), "rows")
+    ends = train.select(F.explode(F.array(tr.user_key(), tr.item_key())).alias("key"))
+    params = materialize(tr.initial_rows(ends, k, 1.0 / k, seed), "params")
     keys = F.array(tr.user_key(), tr.item_key(), tr.item_key("negative"))
-    done = 0
-    while done < iters:
-        step = min(passes, iters - done)
-        triples = sample_negatives(pairs, pairs, items, step, seed, epoch=done)
-        examples = materialize(tr.with_chunks(triples).select(
-            "chunk", keys.alias("keys"), F.lit(1.0).alias("y"), F.col("slot").alias("pass_no")), "examples")
-        params = tr.mixing_round(examples, params, tr.pairwise_step(lr, reg), step, seed + done)
-        done += step
+    for first in range(0, iters, AHEAD):
+        ahead = range(first, min(first + AHEAD, iters))
+        rows = triples(train, ahead, seed).select("user_id", "item_id", "step", keys.alias("keys"), F.lit(1.0).alias("y"))
+        examples = tr.stored_examples(rows, chunk_rows)
+        for step in ahead:
+            params = materialize(tr.damped_step(examples, step, params, tr.pairwise_gradient, lr, reg), "params")
     return params
 
 

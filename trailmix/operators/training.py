@@ -1,32 +1,39 @@
 """Distributed fitting of models with one parameter row per user, item or feature value.
 
-Parameters are a table (key, vec), never a driver-side matrix. A round deals the examples
-into chunks of bounded size, joins each chunk with the parameter rows it needs, runs a few
-passes of local stochastic gradient descent there, and averages the updated rows over the
-chunks, weighted by use (parameter mixing). Users are kept in one chunk unless they have
-more examples than a chunk may hold, so mostly items are averaged.
+Parameters are a table (key, vec), never a driver-side matrix. A step takes the examples that a digest
+deals to it, sums the gradient of every key over all of them, and moves each key once. What a step does
+is a sum over rows, so the model depends neither on how rows are dealt into tasks nor on how many there
+are; an SQL statement can take the same steps. Chunks only bound what a task holds: each is joined with
+the parameter rows it needs, and its gradients are partial sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import key_digest
+from ..functions import draw, key_digest
 from ..session import materialize
 from .spread import spread_out
 
-# Examples of one chunk, and of one vectorised gradient step inside it.
-CHUNK_ROWS = 50_000
-STEP_ROWS = 128
+# Examples of one chunk: bounds a task, changes no result.
+CHUNK_ROWS = 16_384
+# Fixed value: strata of users and of items. A pass takes each (user stratum, item stratum) once.
+STRATA = 2
 
-LocalStep = Callable[[np.ndarray, np.ndarray, np.ndarray], None]
+# Added to the root of the accumulated squares, so that sums that cancel out move nothing.
+LEAST = 1e-8
+
+# (parameter rows, fields of each example, targets) -> gradient of each field's row, by example
+Gradient = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def with_chunks(examples: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -40,6 +47,11 @@ def with_chunks(examples: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
             .withColumn("chunk", F.pmod(F.xxhash64("user_id", piece), n)).drop("_n"))
 
 
+def stratum(user: Column, item: Column, strata: int = STRATA) -> Column:
+    """The step of a pass that takes a pair: in step s, user stratum a meets item stratum a + s."""
+    return F.pmod(draw(F.lit("i"), item) - draw(F.lit("u"), user), F.lit(strata)).cast("int")
+
+
 def gaussian(key: Column, dim: Column, seed: int) -> Column:
     """Standard normal value made from a key, by the Box-Muller transform of two draws."""
     digest = key_digest(key, dim, seed)
@@ -59,44 +71,103 @@ def initial_rows(keys: DataFrame, factors: int, std: float, seed: int) -> DataFr
     return keys.select("key").distinct().select("key", vec.alias("vec"))
 
 
-def _local(step: LocalStep, passes: int, seed: int):
-    def run(key, examples: pd.DataFrame, params: pd.DataFrame) -> pd.DataFrame:
-        if examples.empty:
-            return pd.DataFrame({"key": [], "vec": [], "uses": []})
-        index = pd.Index(params["key"])
-        table = np.stack(params["vec"]).astype(float)
-        names = np.stack(examples["keys"])
-        fields = index.get_indexer(names.ravel()).reshape(names.shape)
-        y = examples["y"].to_numpy(dtype=float)
-        part = examples["pass_no"].to_numpy()
-        rng = np.random.default_rng([seed, int(key[0])])
-        for p in range(passes):
-            rows = np.flatnonzero((part < 0) | (part == p))
-            rng.shuffle(rows)
-            for s in range(0, len(rows), STEP_ROWS):
-                r = rows[s:s + STEP_ROWS]
-                step(table, fields[r], y[r])
-        uses = np.bincount(fields.ravel(), minlength=len(table)).astype(float)
-        return pd.DataFrame({"key": params["key"], "vec": list(table), "uses": uses})
+@dataclass(frozen=True)
+class Examples:
+    """Stored examples: ``chunks`` (step, chunk, fields, y), one row a chunk, whose fields are places among
+    the chunk's keys; ``needs`` (step, chunk, place, key)."""
+
+    chunks: DataFrame
+    needs: DataFrame
+
+
+def stored_examples(examples: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Examples:
+    """``examples``: user_id, item_id, step, keys (an array of one length), y."""
+    dealt = with_chunks(examples, chunk_rows).select("step", "chunk", "keys", F.col("y").cast("double").alias("y"))
+    schema = "step int, chunk bigint, keys array<string>, fields binary, y binary"
+    names = ["step", "chunk", "keys", "fields", "y"]
+
+    def packed(rows: pa.Table) -> pa.Table:
+        lists = rows["keys"].combine_chunks()
+        coded = pc.dictionary_encode(lists.flatten())
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        return pa.table([rows["step"].combine_chunks().slice(0, 1), rows["chunk"].combine_chunks().slice(0, 1),
+                         pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())),
+                         pa.array([coded.indices.to_numpy().astype("<i4").tobytes()], pa.binary()),
+                         pa.array([rows["y"].to_numpy().astype("<f8").tobytes()], pa.binary())], names)
+
+    stored = materialize(spread_out(dealt, ["step", "chunk"]).groupBy("step", "chunk").applyInArrow(packed, schema), "examples")
+    needs = materialize(stored.select("step", "chunk", F.posexplode("keys").alias("place", "key")), "needs")
+    return Examples(stored.select("step", "chunk", "fields", "y"), needs)
+
+
+def _partial(gradient: Gradient):
+    def run(examples: pa.Table, params: pa.Table) -> pa.Table:
+        place = params["place"].to_numpy()
+        width = len(params["vec"][0]) if len(place) else 0
+        flat = params["vec"].combine_chunks().flatten().to_numpy().reshape(len(place), width)
+        table = np.empty_like(flat)
+        table[place] = flat
+        y = np.frombuffer(examples["y"][0].as_py(), "<f8") if examples.num_rows else np.empty(0)
+        fields = np.frombuffer(examples["fields"][0].as_py(), "<i4").reshape(len(y), -1) if len(y) else np.empty((0, 1), int)
+        total, uses = np.zeros_like(table), np.bincount(fields.ravel(), minlength=len(table)).astype(float)
+        if len(y):
+            grad = gradient(table, fields, y)
+            for c in range(fields.shape[1]):
+                order = np.argsort(fields[:, c], kind="stable")
+                ids = fields[order, c]
+                starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                total[ids[starts]] += np.add.reduceat(grad[order, c], starts, axis=0)
+        rows = total[place]
+        ends = pa.array(np.arange(len(place) + 1, dtype=np.int32) * width)
+        return pa.table([params["key"].combine_chunks(), pa.ListArray.from_arrays(ends, pa.array(rows.ravel())),
+                         pa.array(uses[place])], ["key", "grad", "uses"])
 
     return run
 
 
-def mixing_round(examples: DataFrame, params: DataFrame, step: LocalStep, passes: int, seed: int) -> DataFrame:
-    """One round over ``examples`` (chunk, keys, y, pass_no): returns the new (key, vec).
+def gradients(examples: Examples, step: int, params: DataFrame, gradient: Gradient) -> DataFrame:
+    """The parameter rows with ``grad`` and ``uses``: the summed gradient of each key in a step's examples,
+    and how often it occurs there (null for keys that do not).
 
-    A row with pass_no -1 takes part in every local pass, others in their own pass only.
+    Rows and partial sums meet in one aggregate, so a step moves the parameters once to the chunks and
+    once to their keys.
     """
-    needs = examples.select(F.col("chunk").alias("need"), F.explode("keys").alias("key")).distinct()
-    local = spread_out(needs.join(params, "key"), ["need"])
-    examples = spread_out(examples, ["chunk"])
-    out = examples.groupBy("chunk").cogroup(local.groupBy("need")).applyInPandas(
-        _local(step, passes, seed), "key string, vec array<double>, uses double")
-    mixed = (out.select("key", array_to_vector("vec").alias("v"), "uses").groupBy("key")
-             .agg(Summarizer.mean(F.col("v"), F.col("uses")).alias("v"))
-             .select("key", vector_to_array("v").alias("_new")))
-    return materialize(params.join(mixed, "key", "left")
-                       .select("key", F.coalesce("_new", "vec").alias("vec")), "params")
+    rows = examples.chunks.where(F.col("step") == step)
+    needs = (examples.needs.where(F.col("step") == step).select(F.col("chunk").alias("need"), "place", "key")
+             .join(params.select("key", "vec"), "key"))
+    parts = spread_out(rows, ["chunk"]).groupBy("chunk").cogroup(spread_out(needs, ["need"]).groupBy("need")).applyInArrow(
+        _partial(gradient), "key string, grad array<double>, uses double")
+    own = [c for c in params.columns if c != "key"]
+    rest = params.select("key", array_to_vector(F.transform("vec", lambda x: F.lit(0.0))).alias("_v"),
+                         F.lit(None).cast("double").alias("uses"), *own)
+    both = parts.select("key", array_to_vector("grad").alias("_v"), "uses").unionByName(rest, allowMissingColumns=True)
+    met = both.groupBy("key").agg(Summarizer.sum(F.col("_v")).alias("_v"), F.sum("uses").alias("uses"),
+                                  *[F.max(c).alias(c) for c in own])          # one row a key
+    return met.select("key", *own, vector_to_array("_v").alias("grad"), "uses")
+
+
+def damped_step(examples: Examples, step: int, params: DataFrame, gradient: Gradient, lr: float, reg: float) -> DataFrame:
+    """params after one step: a key with n examples moves as far as n small steps would take it.
+
+    n steps of rate ``lr`` in a row leave the share (1 - lr)^n of a key's distance to its optimum if all
+    else stands still; so the summed gradient counts with (1 - (1 - lr)^n) / n. This is ``lr`` for rare
+    keys, and it keeps keys with a third of all rows from overshooting.
+    """
+    rate = (1.0 - F.pow(F.lit(1.0 - lr), F.col("uses"))) / F.col("uses")
+    rows = gradients(examples, step, params, gradient).withColumn("_rate", rate)
+    moved = F.zip_with("vec", "grad", lambda v, g: v + F.col("_rate") * (g - F.col("uses") * reg * v))
+    return rows.select("key", F.when(F.col("uses").isNull(), F.col("vec")).otherwise(moved).alias("vec"))
+
+
+def scaled_step(examples: Examples, step: int, params: DataFrame, gradient: Gradient, lr: float, reg: float) -> DataFrame:
+    """params (key, vec, acc) after one step of the mean gradient, scaled by each number's accumulated squares."""
+    mean = F.zip_with("vec", "grad", lambda v, g: g / F.col("uses") - reg * v)
+    rows = gradients(examples, step, params, gradient).withColumn("_g", mean)
+    rows = rows.withColumn("_a", F.zip_with("acc", "_g", lambda a, g: a + g * g))
+    moved = F.zip_with("vec", F.zip_with("_g", "_a", lambda g, a: lr * g / (F.sqrt(a) + LEAST)), lambda v, m: v + m)
+    idle = F.col("uses").isNull()
+    return rows.select("key", F.when(idle, F.col("vec")).otherwise(moved).alias("vec"),
+                       F.when(idle, F.col("acc")).otherwise(F.col("_a")).alias("acc"))
 
 
 def user_key() -> Column:
@@ -107,50 +178,39 @@ def item_key(name: str = "item_id") -> Column:
     return F.concat(F.lit("i:"), F.col(name).cast("string"))
 
 
-def squared_step(mu: float, lr: float, reg: float) -> LocalStep:
-    """Squared loss of mu + b_u + b_i + p.q; fields are (user, item)."""
-    def step(table: np.ndarray, fields: np.ndarray, y: np.ndarray) -> None:
-        u, i = table[fields[:, 0]], table[fields[:, 1]]
-        err = y - (mu + u[:, 0] + i[:, 0] + np.einsum("ij,ij->i", u[:, 1:], i[:, 1:]))
-        gu, gi = i * err[:, None], u * err[:, None]
-        gu[:, 0], gi[:, 0] = err, err
-        np.add.at(table, fields[:, 0], lr * (gu - reg * u))
-        np.add.at(table, fields[:, 1], lr * (gi - reg * i))
-    return step
-
-
-def pairwise_step(lr: float, reg: float) -> LocalStep:
-    """Pairwise loss ln sigma(x_ui - x_uj); fields are (user, item, other item)."""
-    def step(table: np.ndarray, fields: np.ndarray, y: np.ndarray) -> None:
-        u, i, j = (table[fields[:, c]] for c in range(3))
-        gap = i[:, 0] - j[:, 0] + np.einsum("ij,ij->i", u[:, 1:], i[:, 1:] - j[:, 1:])
-        z = 1.0 / (1.0 + np.exp(gap))
-        gu, gi, gj = z[:, None] * (i - j), z[:, None] * u, -z[:, None] * u
-        gu[:, 0], gi[:, 0], gj[:, 0] = 0.0, z, -z
-        u_reg = u.copy()
-        u_reg[:, 0] = 0.0
-        np.add.at(table, fields[:, 0], lr * (gu - reg * u_reg))
-        np.add.at(table, fields[:, 1], lr * (gi - reg * i))
-        np.add.at(table, fields[:, 2], lr * (gj - reg * j))
-    return step
-
-
-def logistic_step(lr: float, reg: float) -> LocalStep:
-    """Log loss of the sum of weights plus all pairwise vector products of the fields.
+def squared_gradient(mu: float) -> Gradient:
+    """Downhill direction of the squared loss of mu + b_u + b_i + p.q; fields are (user, item)."""
+    def grad(table: np.ndarray, fields: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x = table[fields]                                        # examples x 2 x (1 + factors)
+        err = y - (mu + x[:, 0, 0] + x[:, 1, 0] + np.einsum("ij,ij->i", x[:, 0, 1:], x[:, 1, 1:]))
+        out = x[:, ::-1] * err[:, None, None]
+        out[:, :, 0] = err[:, None]
+        return out
+    return grad
+
+
+def pairwise_gradient(table: np.ndarray, fields: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Uphill direction of ln sigma(x_ui - x_uj); fields are (user, item, other item)."""
+    u, i, j = (table[fields[:, c]] for c in range(3))
+    gap = i[:, 0] - j[:, 0] + np.einsum("ij,ij->i", u[:, 1:], i[:, 1:] - j[:, 1:])
+    z = (1.0 / (1.0 + np.exp(gap)))[:, None]
+    out = np.stack([z * (i - j), z * u, -z * u], axis=1)
+    out[:, 0, 0] = 0.0
+    out[:, 1, 0], out[:, 2, 0] = z[:, 0], -z[:, 0]
+    return out
+
+
+def logistic_gradient(table: np.ndarray, fields: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Downhill direction of the log loss of the sum of weights plus all pairwise vector products.
 
     The first field is the bias: it has a weight only.
     """
-    def step(table: np.ndarray, fields: np.ndarray, y: np.ndarray) -> None:
-        x = table[fields]                                        # examples x fields x (1 + factors)
-        total = x[:, :, 1:].sum(axis=1)
-        pair = 0.5 * ((total ** 2).sum(axis=1) - (x[:, :, 1:] ** 2).sum(axis=(1, 2)))
-        err = y - 1.0 / (1.0 + np.exp(-(x[:, :, 0].sum(axis=1) + pair)))
-        grad = np.empty_like(x)
-        grad[:, :, 0] = err[:, None]
-        grad[:, :, 1:] = err[:, None, None] * (total[:, None, :] - x[:, :, 1:])
-        grad[:, 0, 1:] = 0.0
-        # a value shared by many examples of the step moves by the mean of their gradients
-        flat = fields.ravel()
-        share = 1.0 / np.bincount(flat, minlength=len(table))[flat]
-        np.add.at(table, flat, lr * (grad - reg * x).reshape(len(flat), -1) * share[:, None])
-    return step
+    x = table[fields]                                            # examples x fields x (1 + factors)
+    total = x[:, :, 1:].sum(axis=1)
+    pair = 0.5 * ((total ** 2).sum(axis=1) - (x[:, :, 1:] ** 2).sum(axis=(1, 2)))
+    err = y - 1.0 / (1.0 + np.exp(-(x[:, :, 0].sum(axis=1) + pair)))
+    out = np.empty_like(x)
+    out[:, :, 0] = err[:, None]
+    out[:, :, 1:] = err[:, None, None] * (total[:, None, :] - x[:, :, 1:])
+    out[:, 0, 1:] = 0.0
+    return out
