@@ -33,14 +33,14 @@ def hits(lists, test):
 
 def test_pairwise_model_beats_popularity(planted):
     train, test = planted
-    lists = factors.bpr_lists(train, k=6, iters=60, lr=0.1, passes=20)
+    lists = factors.bpr_lists(train, k=6, iters=12, lr=0.2)
     assert hits(lists, test) > hits(toplists.popularity(train), test)
     assert lists.join(train, ["user_id", "item_id"], "left_semi").count() == 0
 
 
 def test_factorisation_beats_the_mean(planted):
     train, test = planted
-    params = factors.biased_mf(train, k=4, epochs=60, lr=0.05, reg=0.02, passes=20)
+    params = factors.biased_mf(train, k=4, epochs=8, lr=0.15, reg=0.02)
     pred = factors.mf_predict(params, test, train).withColumnRenamed("score", "est")
     both = test.select("user_id", "item_id", F.col("rating").alias("true")).join(pred, ["user_id", "item_id"])
     mu = logs.global_mean(train).first()["mu"]
@@ -48,6 +48,59 @@ def test_factorisation_beats_the_mean(planted):
     assert evaluate.rmse(both).first().rmse < 0.6 * mean_error
 
 
+def vectors(params):
+    return {r.key: np.array(r.vec) for r in params.collect()}
+
+
+def same(a, b):
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], rtol=0, atol=1e-11) for k in a)
+
+
+@pytest.mark.parametrize("parts, chunk_rows", [(7, 50), (64, 9)])
+def test_models_do_not_depend_on_partitions_or_chunks(planted, parts, chunk_rows):
+    train, _ = planted
+    one, many = train.coalesce(1), train.repartition(parts)
+    same(vectors(factors.biased_mf(one, k=3, epochs=2)), vectors(factors.biased_mf(many, k=3, epochs=2, chunk_rows=chunk_rows)))
+    same(vectors(factors.bpr(one, k=3, iters=3)), vectors(factors.bpr(many, k=3, iters=3, chunk_rows=chunk_rows)))
+
+
+def test_a_step_is_the_summed_gradient(spark):
+    """One step over repeated rows and a key that half of all rows share, number by number."""
+    rng = np.random.default_rng(3)
+    rows = [(int(u), int(i) if k % 2 else 0, float(r)) for k, (u, i, r) in enumerate(
+        zip(rng.integers(0, 9, 200), rng.integers(0, 12, 200), rng.integers(1, 6, 200)))]
+    train = spark.createDataFrame(rows + rows[:20], "user_id int, item_id int, rating double")
+    keys = F.array(training.user_key(), training.item_key())
+    examples = training.stored_examples(train.select("user_id", "item_id", keys.alias("keys"), F.col("rating").alias("y"),
+                                                     F.lit(0).alias("step")), 16)
+    idle = spark.createDataFrame([("u:99", [0.5, 1.0, 2.0])], "key string, vec array<double>")
+    params = training.initial_rows(examples.needs, 2, 0.3, 1).unionAll(idle)
+    start, lr, reg, mu = vectors(params), 0.05, 0.1, 3.0
+    got = vectors(training.damped_step(examples, 0, params, training.squared_gradient(mu), lr, reg))
+    grad, uses = {k: np.zeros(3) for k in start}, dict.fromkeys(start, 0)
+    for u, i, r in rows + rows[:20]:
+        p, q = start[f"u:{u}"], start[f"i:{i}"]
+        err = r - (mu + p[0] + q[0] + p[1:] @ q[1:])
+        grad[f"u:{u}"] += [err, *(err * q[1:])]
+        grad[f"i:{i}"] += [err, *(err * p[1:])]
+        uses[f"u:{u}"] += 1
+        uses[f"i:{i}"] += 1
+    want = {k: v if not uses[k] else v + (1 - (1 - lr) ** uses[k]) / uses[k] * (grad[k] - reg * uses[k] * v) for k, v in start.items()}
+    same(got, want)
+    assert uses["i:0"] > 100 and abs(got["i:0"][0]) < 5          # a key with half of all rows does not overshoot
+
+
+def test_pairwise_triples_keep_repeated_rows_and_leave_out_known_items(spark):
+    rows = [("a", "x")] * 5 + [("a", "y"), ("b", "x"), ("c", "x"), ("c", "y"), ("c", "z"), ("b", "z")]
+    train = spark.createDataFrame(rows, "user_id string, item_id string")
+    got = factors.triples(train, range(0, 40), 7).collect()
+    known = set(rows)
+    assert all((r.user_id, r.negative) not in known for r in got) and "c" not in {r.user_id for r in got}
+    of_a = [r for r in got if (r.user_id, r.item_id) == ("a", "x")]
+    assert 30 < len(of_a) < 110 and {r.negative for r in of_a} == {"z"}      # a third of 5 x 40 draws
+    assert rows_of(factors.triples(train.repartition(5), range(0, 40), 7)) == rows_of(factors.triples(train, range(0, 40), 7))
+
+
 def test_heavy_users_are_split_over_chunks(spark):
     rows = spark.range(900).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("user_id"),
                                    F.col("id").alias("item_id"))
@@ -68,8 +121,8 @@ def click_examples(planted):
 
 def test_collapsed_forms_equal_the_field_models(click_examples):
     _, users, items, rows = click_examples
-    p = ctr.fm_fit(rows, factors=3, rounds=1, passes=2)
-    w = ctr.wide_fit(rows, rounds=1, passes=2)
+    p = ctr.fm_fit(rows, factors=3, epochs=1)
+    w = ctr.wide_fit(rows, epochs=1)
     fm = {r.key: np.array(r.vec) for r in p.collect()}
     wide = {r.key: r.vec[0] for r in w.collect()}
     pairs = rows.select("user_id", "item_id").distinct()
@@ -89,7 +142,7 @@ def test_collapsed_forms_equal_the_field_models(click_examples):
 
 def test_click_models_learn(click_examples, planted):
     train, users, items, rows = click_examples
-    params = ctr.fm_fit(rows, factors=6, rounds=3, passes=20, lr=0.5)
+    params = ctr.fm_fit(rows, factors=6, epochs=10, lr=0.3)
     sides = tuple(materialize(s) for s in ctr.fm_sides(params, users, items))
     scored = ctr.pair_scores(sides, rows.select("user_id", "item_id").distinct()).join(
         rows.groupBy("user_id", "item_id").agg(F.max("label").alias("label")), ["user_id", "item_id"])

@@ -132,16 +132,15 @@ def gradients(examples: Examples, step: int, params: DataFrame, gradient: Gradie
     Rows and partial sums meet in one aggregate, so a step moves the parameters once to the chunks and
     once to their keys.
     """
-    rows = examples.chunks.where(F.col("step") == step)
-    needs = (examples.needs.where(F.col("step") == step).select(F.col("chunk").alias("need"), "place", "key")
+    rows = examples.chunks.where(f"step = {step}")
+    needs = (examples.needs.where(f"step = {step}").selectExpr("chunk AS need", "place", "key")
              .join(params.select("key", "vec"), "key"))
     parts = spread_out(rows, ["chunk"]).groupBy("chunk").cogroup(spread_out(needs, ["need"]).groupBy("need")).applyInArrow(
         _partial(gradient), "key string, grad array<double>, uses double")
     own = [c for c in params.columns if c != "key"]
-    rest = params.select("key", array_to_vector(F.transform("vec", lambda x: F.lit(0.0))).alias("_v"),
-                         F.lit(None).cast("double").alias("uses"), *own)
-    both = parts.select("key", array_to_vector("grad").alias("_v"), "uses").unionByName(rest, allowMissingColumns=True)
-    met = both.groupBy("key").agg(Summarizer.sum(F.col("_v")).alias("_v"), F.sum("uses").alias("uses"),
+    rest = params.selectExpr("key", "transform(vec, v -> 0.0D) AS grad", "CAST(NULL AS DOUBLE) AS uses", *own)
+    both = parts.unionByName(rest, allowMissingColumns=True)
+    met = both.groupBy("key").agg(Summarizer.sum(array_to_vector("grad")).alias("_v"), F.sum("uses").alias("uses"),
                                   *[F.max(c).alias(c) for c in own])          # one row a key
     return met.select("key", *own, vector_to_array("_v").alias("grad"), "uses")
 
@@ -153,21 +152,18 @@ def damped_step(examples: Examples, step: int, params: DataFrame, gradient: Grad
     else stands still; so the summed gradient counts with (1 - (1 - lr)^n) / n. This is ``lr`` for rare
     keys, and it keeps keys with a third of all rows from overshooting.
     """
-    rate = (1.0 - F.pow(F.lit(1.0 - lr), F.col("uses"))) / F.col("uses")
-    rows = gradients(examples, step, params, gradient).withColumn("_rate", rate)
-    moved = F.zip_with("vec", "grad", lambda v, g: v + F.col("_rate") * (g - F.col("uses") * reg * v))
-    return rows.select("key", F.when(F.col("uses").isNull(), F.col("vec")).otherwise(moved).alias("vec"))
+    rate = f"((1.0D - pow({1.0 - lr!r}D, uses)) / uses)"
+    moved = f"zip_with(vec, grad, (v, g) -> v + {rate} * (g - uses * {reg!r}D * v))"
+    return gradients(examples, step, params, gradient).selectExpr("key", f"if(uses IS NULL, vec, {moved}) AS vec")
 
 
 def scaled_step(examples: Examples, step: int, params: DataFrame, gradient: Gradient, lr: float, reg: float) -> DataFrame:
     """params (key, vec, acc) after one step of the mean gradient, scaled by each number's accumulated squares."""
-    mean = F.zip_with("vec", "grad", lambda v, g: g / F.col("uses") - reg * v)
-    rows = gradients(examples, step, params, gradient).withColumn("_g", mean)
-    rows = rows.withColumn("_a", F.zip_with("acc", "_g", lambda a, g: a + g * g))
-    moved = F.zip_with("vec", F.zip_with("_g", "_a", lambda g, a: lr * g / (F.sqrt(a) + LEAST)), lambda v, m: v + m)
-    idle = F.col("uses").isNull()
-    return rows.select("key", F.when(idle, F.col("vec")).otherwise(moved).alias("vec"),
-                       F.when(idle, F.col("acc")).otherwise(F.col("_a")).alias("acc"))
+    rows = gradients(examples, step, params, gradient).selectExpr(
+        "key", "uses", "vec", "acc", f"zip_with(vec, grad, (v, g) -> g / uses - {reg!r}D * v) AS g")
+    rows = rows.selectExpr("key", "uses", "vec", "g", "if(uses IS NULL, acc, zip_with(acc, g, (a, x) -> a + x * x)) AS acc")
+    moves = f"zip_with(g, acc, (x, a) -> {lr!r}D * x / (sqrt(a) + {LEAST!r}D))"
+    return rows.selectExpr("key", f"if(uses IS NULL, vec, zip_with(vec, {moves}, (v, m) -> v + m)) AS vec", "acc")
 
 
 def user_key() -> Column:
