@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from trailmix.llm import fingerprints, mixing, pii, secrets, urls
+from trailmix.llm import fingerprints, mixing, pii, secrets, spans, urls
 from trailmix.llm.components import components
 
 from .conftest import PROSE, SCHEMA
@@ -243,3 +243,41 @@ def test_secrets_odd_rows(odd_docs, make_docs):
     assert out.columns == odd_docs.columns
     assert sorted(out.select("doc_id", "text").collect(), key=str) == sorted(odd_docs.select("doc_id", "text").collect(), key=str)
     assert secrets.findings(make_docs([])).count() == 0 and secrets.redacted(make_docs([])).count() == 0
+
+
+# ---- places of matches
+
+def test_spans_match_brute_force_over_many_blocks(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("ab1 é漢", k=n)) for n in (0, 1, 300, 5000)] + ["1" * 10, "1 " * 257, "1 " * 512, "é1" * 600, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["x"] for r in rows.select("id", spans.spans(F.col("text"), "1+a?", 3).alias("x")).collect()}
+    for k, text in enumerate(texts):
+        at, want = 0, []
+        for m in re.finditer("1+a?", text or ""):
+            want.append((m.start(), m.end(), m[0], text[at:m.start()][-3:]))
+            at = m.end()
+        assert [tuple(x) for x in got[k]] == want
+
+
+def test_apart_matches_brute_force(spark):
+    rng, kind = random.Random(13), "array<struct<start:int,end:int>>"
+    rows = []
+    for k in range(60):
+        n, width = rng.choice([0, 1, 5, 700]), rng.choice([3, 30, 4000])
+        rows.append((k, *[[(s, s + rng.randint(1, 6)) for s in (rng.randrange(width) for _ in range(n))] for n in (n, rng.choice([0, 2, 600]))]))
+    df = spark.createDataFrame(rows, f"id int, items {kind}, others {kind}")
+    for r in df.select("id", spans.apart(F.col("items"), F.col("others")).alias("x")).collect():
+        _, items, others = rows[r["id"]]
+        want = [a for a in items if not any(a[0] < b[1] and b[0] < a[1] for b in others)]
+        assert sorted(tuple(x) for x in r["x"]) == sorted(want)
+
+
+def test_dense_and_long_values_are_found_whole(make_docs):
+    long_value = "Zx9" * 140
+    docs = make_docs([(1, "10.20.30.4 " * 5000), (2, f'secret: "{long_value}" and so on'), (3, "no candidate")])
+    assert {r["doc_id"]: r["n_ip"] for r in pii.reported(docs).collect()} == {1: 5000, 2: 0, 3: 0}
+    found = [(x["start"], x["end"]) for r in secrets.scanned(docs, "doc_id").where("doc_id = 2").collect() for x in r["_found"]]
+    assert found == [(9, 9 + len(long_value))]
+    strict = secrets.redacted(docs, least=0.0).where("doc_id = 2").first()["text"]
+    assert strict == 'secret: "[SECRET]" and so on'

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .spans import overlaps, spans
+from .spans import apart, spans
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive forms of the strict patterns: the same matches, in time linear in the text.
@@ -123,8 +123,7 @@ def found_in(docs: DataFrame, *columns) -> DataFrame:
     rows = docs.select(*columns, text.alias("_text")).select("*", strict.alias("_s"), loose.alias("_l")).drop("_text")
     names = [c for c in rows.columns if c not in ("_s", "_l")]
     base = F.filter("_s", lambda x: x["valid"])
-    more = F.filter(F.concat("_s", "_l"), lambda x: ~x["valid"] & ~F.exists(
-        F.filter("_s", lambda y: y["valid"]), lambda y: overlaps(x, y)))
+    more = apart(F.filter(F.concat("_s", "_l"), lambda x: ~x["valid"]), base)
     return materialize(rows.select(*[F.col(f"`{c}`") for c in names], base.alias("_base"), more.alias("_more")), "spans")
 
 

@@ -19,7 +19,7 @@ CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
     # two short looks behind come first: the long one is only tried after an assignment
     r"|(?<=[:=\x20\"'])(?<=[:=][\x20]?[\"']?)"
-    r"(?<=(?:password|passwd|secret|api_key|apikey|pwd)[\x20]?[:=][\x20]?[\"']?)[^\s\"'<>]{6,200}+"
+    r"(?<=(?:password|passwd|secret|api_key|apikey|pwd)[\x20]?[:=][\x20]?[\"']?)[^\s\"'<>]{6,}+"
     rf"|(?<![{_RUN}])[{_RUN}]{{16,}}+")
 TELLING = r"token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private"
 HARMLESS = r"sha\d*|md5|commit|uuid|guid|checksum|hash|isbn|digest|href|src"
@@ -48,7 +48,7 @@ def _described(x) -> Column:
              .when(words & ~assigned, 0))
     number = lambda c: c.cast("double")
     return F.struct(
-        x["start"].alias("start"), x["end"].alias("end"),
+        x["start"].alias("start"), x["end"].alias("end"), value.alias("value"),
         F.when(block, "private_key").when(assigned & telling, "assigned").otherwise("run").alias("kind"),
         label.alias("label"), size.alias("length"), (F.size(F.array_distinct(F.split(value, ""))) / F.least(size, F.lit(64.0))).alias("distinct"),
         share("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]").alias("class_changes"), digits.alias("digits"),
@@ -112,7 +112,7 @@ def forest(findings: DataFrame, sample: int = SAMPLE):
 
 
 def scanned(docs: DataFrame, *columns, findings: DataFrame | None = None, least: float = LEAST) -> DataFrame:
-    """``columns`` of every row with ``found``: its candidates as (start, end, kind, score, secret).
+    """``columns`` of every row with ``found``: its candidates as (start, end, value, kind, score, secret).
 
     ``findings`` are labelled findings to train on, by default those of the documents themselves. A
     private key block is a secret by its form. A null text has no candidate.
@@ -121,10 +121,10 @@ def scanned(docs: DataFrame, *columns, findings: DataFrame | None = None, least:
 
     def verdict(x):
         score = probability(x) if probability else F.coalesce(x["label"].cast("double"), F.lit(0.0))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), score.alias("score"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["kind"].alias("kind"), score.alias("score"))
 
     def decided(x):
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["score"].alias("score"),
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["kind"].alias("kind"), x["score"].alias("score"),
                         ((x["score"] >= least) | (x["kind"] == "private_key")).alias("secret"))
 
     found = F.transform(F.transform(candidates(F.col("_t")), verdict), decided)
@@ -145,16 +145,14 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", least: float = LEAST) -> D
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
     rows = scanned(whole, "_row", "text", least=least)
-    rows = rows.withColumn("_secret", F.filter("_found", lambda x: x["secret"]))
+    changed = F.exists("_found", lambda x: x["secret"])
 
-    def step(state, x):
-        kept = F.substr(F.col("text"), state["at"] + 1, x["start"] - state["at"])
-        return F.struct(x["end"].alias("at"), F.concat(state["out"], F.array(F.concat(kept, F.lit(mark)))).alias("out"))
+    def piece(z):
+        value = F.when(z["x"]["secret"], mark).otherwise(z["x"]["value"])
+        return F.concat(z["p"], F.coalesce(value, F.lit("")))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate("_secret", first, step, lambda s: F.concat(
-        F.array_join(s["out"], ""), F.substr(F.col("text"), s["at"] + 1, F.lit(2147483647))))
-    changed = F.size("_secret") > 0
+    # the text between candidates, each followed by its candidate or the mark; the last by nothing
+    new = F.array_join(F.transform(F.arrays_zip(F.split("text", CANDIDATE, -1).alias("p"), F.col("_found").alias("x")), piece), "")
     rows = rows.select("_row", F.when(changed, new).otherwise(F.col("text")).alias("_new"), changed.alias("_changed"))
     out = {c: F.col("_row")[c] for c in docs.columns}
     out["text"] = F.col("_new")
