@@ -185,8 +185,14 @@ def test_precision_recall_and_rating_protocol(spark, random_log):
     row = evaluate.precision_recall_at_k(preds).first()
     assert (row.precision, row.recall) == (0.25, 0.25) and math.isclose(row.f1, 0.25)
     assert math.isclose(evaluate.rmse(preds).first().rmse, math.sqrt((1 + 2.6 ** 2 + 1 + 0) / 4))
-    out = experiments.rating_protocol(experiments.rating_predictions(random_log(rows=400), 20))
-    assert {r.model for r in out.collect()} == {"user_knn", "item_knn"}
+    made = experiments.rating_predictions(random_log(rows=400), 20, k=3, epochs=2)
+    out = {r.model: r for r in experiments.rating_protocol(made).collect()}
+    assert set(out) == {"user_knn", "item_knn", "svd"}
+    for m, r in out.items():                                  # grouped figures are those of each model alone
+        alone = made.where(F.col("model") == m)
+        row = evaluate.precision_recall_at_k(alone, ties=("item_id", "ts", "seq")).first()
+        assert math.isclose(r.rmse, evaluate.rmse(alone).first().rmse)
+        assert (r.precision, r.recall, r.f1) == pytest.approx((row.precision, row.recall, row.f1))
 
 
 def test_model_selection_stops_and_prefers_first(spark):

@@ -100,16 +100,16 @@ def click_sql(name: str, source: str, fields: Sequence[str], k: int, epochs: int
     return scaled_sql(name, rows, keys, k, std, seed, epochs * strata, lr, reg, least, examples, grads)
 
 
-def mf_sql(k: int, epochs: int, lr: float, reg: float, std: float, seed: int, strata: int) -> str:
-    pairs = f"""mf_rows AS MATERIALIZED (
+def mf_sql(k: int, epochs: int, lr: float, reg: float, std: float, seed: int, strata: int, name: str = "mf", source: str = "tr") -> str:
+    pairs = f"""{name}_rows AS MATERIALIZED (
   SELECT 'u:' || user_id AS u, 'i:' || item_id AS i, rating::DOUBLE AS y,
     (({draw_sql("'i'", 'item_id')} - {draw_sql("'u'", 'user_id')}) % {strata} + {strata}) % {strata} AS part
-  FROM tr), mf_mean AS MATERIALIZED (SELECT avg(rating::DOUBLE) AS mu FROM tr)"""
-    keys = "SELECT DISTINCT u AS key FROM mf_rows UNION ALL SELECT DISTINCT i FROM mf_rows"
+  FROM {source}), {name}_mean AS MATERIALIZED (SELECT avg(rating::DOUBLE) AS mu FROM {source})"""
+    keys = f"SELECT DISTINCT u AS key FROM {name}_rows UNION ALL SELECT DISTINCT i FROM {name}_rows"
     examples = f"""SELECT r.u, r.i, y - (mu + p.b + q.b + ({columns(k, 'p.f# * q.f#', ' + ')})) AS err,
       {columns(k, 'p.f# AS p#')}, {columns(k, 'q.f# AS q#')}
-      FROM mf_rows r, mf_mean, mf_st p, mf_st q WHERE p.key = r.u AND q.key = r.i AND r.part = p.step % {strata}"""
-    return damped_sql("mf", pairs, keys, k, std, seed, epochs * strata, lr, reg, examples,
+      FROM {name}_rows r, {name}_mean, {name}_st p, {name}_st q WHERE p.key = r.u AND q.key = r.i AND r.part = p.step % {strata}"""
+    return damped_sql(name, pairs, keys, k, std, seed, epochs * strata, lr, reg, examples,
                       [("u", "err", "err * q#"), ("i", "err", "err * p#")])
 
 

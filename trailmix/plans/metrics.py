@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clip
-from ..operators import cooccurrence, evaluate, experiments, logs, similarity, toplists
+from ..operators import cooccurrence, evaluate, experiments, factors, logs, similarity, toplists, training
 from ..sources import store, tables
-from . import models
+from . import fitted_sql, models
 from .inputs import MIN_RATERS_TEST, MIN_ROWS_RATING_TEST, stored_split, stored_train
 from .registry import longs, part, query, rounded
 
@@ -128,44 +128,54 @@ SELECT 'user_knn' AS model, t.user_id, t.item_id, t.seq, t.rating AS truth, p.sc
 UNION ALL
 SELECT 'item_knn' AS model, t.user_id, t.item_id, t.seq, t.rating AS truth, p.score AS est FROM rp_te t JOIN ({models.pair_sql(
     'rp_is', 'item_id', 'user_id', 30, 9, 'rp_te', 'rp_trd', 'rp_mean')}) p ON p.user_id = t.user_id AND p.item_id = t.item_id""")
-part("rp_users", """
-SELECT model, user_id, any_value(n_rel) AS n_rel, count(*) FILTER (round(est, 9) >= 3.5) AS n_rec,
-  count(*) FILTER (round(est, 9) >= 3.5 AND truth >= 3.5) AS n_both FROM (
-  SELECT *, count(*) FILTER (truth >= 3.5) OVER (PARTITION BY model, user_id) AS n_rel,
-    row_number() OVER (PARTITION BY model, user_id ORDER BY round(est, 9) DESC, item_id, seq) AS rn FROM rp_pred) WHERE rn <= 10
-GROUP BY model, user_id""")
-part("rp_pr", """
-SELECT model, avg(CASE WHEN n_rec > 0 THEN n_both / n_rec ELSE 0 END) AS precision,
-  avg(CASE WHEN n_rel > 0 THEN n_both / n_rel ELSE 0 END) AS recall FROM rp_users GROUP BY model""")
-part("rp_rmse", "SELECT model, sqrt(avg((truth - est) * (truth - est))) AS rmse FROM rp_pred GROUP BY model")
+part("rp_mf", fitted_sql.mf_sql(**factors.MF, seed=1, strata=training.STRATA, name="rp_mf", source="rp_tr"))
+part("rp_all", f"""
+SELECT * FROM rp_pred UNION ALL
+SELECT 'svd', t.user_id, t.item_id, t.seq, t.rating, greatest(0, least(5, mu + p.b + q.b + ({
+    fitted_sql.columns(factors.MF["k"], 'p.f# * q.f#', ' + ')})))
+FROM rp_te t, rp_mean, rp_mf p, rp_mf q WHERE p.key = 'u:' || t.user_id AND q.key = 'i:' || t.item_id""")
+def scored_sql(table: str) -> str:
+    """rmse, precision and recall of each model of a table of predictions."""
+    return f"""
+WITH top AS (
+  SELECT model, user_id, any_value(n_rel) AS n_rel, count(*) FILTER (round(est, 9) >= 3.5) AS n_rec,
+    count(*) FILTER (round(est, 9) >= 3.5 AND truth >= 3.5) AS n_both FROM (
+    SELECT *, count(*) FILTER (truth >= 3.5) OVER (PARTITION BY model, user_id) AS n_rel,
+      row_number() OVER (PARTITION BY model, user_id ORDER BY round(est, 9) DESC, item_id, seq) AS rn FROM {table}) WHERE rn <= 10
+  GROUP BY model, user_id)
+SELECT model, rmse, precision, recall FROM (
+  SELECT model, avg(CASE WHEN n_rec > 0 THEN n_both / n_rec ELSE 0 END) AS precision,
+    avg(CASE WHEN n_rel > 0 THEN n_both / n_rel ELSE 0 END) AS recall FROM top GROUP BY model)
+JOIN (SELECT model, sqrt(avg((truth - est) * (truth - est))) AS rmse FROM {table} GROUP BY model) USING (model)"""
+
+
+part("rp_scored", scored_sql("rp_pred"))
+part("rp_scored_all", scored_sql("rp_all"))
+F1_SQL = "CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END"
 
 
-def _protocol(spark, d):
-    return experiments.rating_predictions(tables.purchases(spark, d), MIN_ROWS_RATING_TEST)
+def _protocol(spark, d, *models):
+    return experiments.rating_predictions(tables.purchases(spark, d), MIN_ROWS_RATING_TEST, models or experiments.MODELS)
 
 
-@query("rmse", "SELECT round(rmse, 6) AS rmse FROM rp_rmse WHERE model = 'user_knn'")
+@query("rmse", "SELECT round(rmse, 6) AS rmse FROM rp_scored WHERE model = 'user_knn'")
 def rmse(spark, d):
-    return rounded(evaluate.rmse(_protocol(spark, d)["user_knn"]), "rmse")
+    return rounded(evaluate.rmse(_protocol(spark, d, "user_knn")), "rmse")
 
 
-@query("precision_recall_at_k", """
-SELECT round(precision, 6) AS precision, round(recall, 6) AS recall,
-  round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1
-FROM rp_pr WHERE model = 'item_knn'""")
+@query("precision_recall_at_k", f"""
+SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1
+FROM rp_scored WHERE model = 'item_knn'""")
 def precision_recall_at_k(spark, d):
-    preds = _protocol(spark, d)["item_knn"]
-    out = evaluate.precision_recall_at_k(preds, ties=("item_id", "ts", "seq"))
+    out = evaluate.precision_recall_at_k(_protocol(spark, d, "item_knn"), ties=("item_id", "ts", "seq"))
     return rounded(out, "precision", "recall", "f1")
 
 
-@query("rating_protocol", """
-SELECT model, round(rmse, 6) AS rmse, round(precision, 6) AS precision, round(recall, 6) AS recall,
-  round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1
-FROM rp_pr JOIN rp_rmse USING (model)""")
+@query("rating_protocol", f"""
+SELECT model, round(rmse, 6) AS rmse, round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1
+FROM rp_scored_all""")
 def rating_protocol(spark, d):
-    out = experiments.rating_protocol(_protocol(spark, d))
-    return rounded(out, "rmse", "precision", "recall", "f1")
+    return rounded(experiments.rating_protocol(_protocol(spark, d)), "rmse", "precision", "recall", "f1")
 
 
 # ---- run logs ----------------------------------------------------------------------
