@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from trailmix.operators import ctr, evaluate, factors, logs, negatives, toplists, training
@@ -148,19 +147,47 @@ def test_click_models_learn(click_examples, planted):
         rows.groupBy("user_id", "item_id").agg(F.max("label").alias("label")), ["user_id", "item_id"])
     means = {r.label: r.m for r in scored.groupBy("label").agg(F.avg("score").alias("m")).collect()}
     assert means[1] > means[0] + 0.3
-    net = ctr.deep_fit(ctr.deep_inputs(rows.select("user_id", "item_id", "label"), params, users, items), 6, (8, 4), 8)
+    inputs = materialize(ctr.deep_inputs(rows.select("user_id", "item_id", "label"), params, users, items))
+    net = ctr.deep_fit(inputs, 6, (8, 4), 3, 0.01)
+    for other in (inputs.coalesce(1), inputs.repartition(7), inputs.repartition(64)):
+        again = ctr.deep_fit(other, 6, (8, 4), 3, 0.01)
+        assert all(np.allclose(p, q, rtol=0, atol=1e-9) for a, b in zip(net, again) for p, q in zip(a, b))
     lists = ctr.deep_lists(net, sides, params, users, items, train, block=7)
     assert lists.groupBy("user_id").count().agg(F.max("count")).first()[0] == 10
     # brute force: the fitted network on all pairs, none left out
     pairs = users.select("user_id").crossJoin(items.select("item_id"))
-    logits = net.transform(ctr.deep_inputs(pairs, params, users, items)).select(
-        "user_id", "item_id", vector_to_array("rawPrediction").alias("r"))
-    rows = ctr.pair_scores(sides, pairs).join(logits, ["user_id", "item_id"])
-    scored = rows.select("user_id", "item_id", (F.col("score") + F.col("r")[1] - F.col("r")[0]).alias("score"))
-    want = toplists.top_n_names(scored, train, logs.item_names(train))
+    every = ctr.pair_scores(sides, pairs).join(ctr.deep_inputs(pairs, params, users, items), ["user_id", "item_id"]).collect()
+    scored = [(r.user_id, r.item_id, r.score + logit(net, np.array(r.features))) for r in every]
+    want = toplists.top_n_names(lists.sparkSession.createDataFrame(scored, "user_id string, item_id string, score double"),
+                                train, logs.item_names(train))
     assert rows_of(lists, "user_id", "rank", "item_id") == rows_of(want, "user_id", "rank", "item_id")
 
 
+def logit(layers, x):
+    for w, b in layers[:-1]:
+        x = np.maximum(x @ w + b, 0.0)
+    return float((x @ layers[-1][0] + layers[-1][1])[0])
+
+
+def test_network_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(2)
+    layers, x, y = ctr.first_layers((6, 5, 3, 1), 1), rng.normal(size=(20, 6)), rng.integers(0, 2, 20).astype(float)
+
+    def loss():
+        z = np.array([logit(layers, row) for row in x])
+        return float(np.sum(np.logaddexp(0, z) - y * z))
+
+    flat, grads = [p for layer in layers for p in layer], ctr.network_gradient(layers, x, y)
+    for p, g in zip(flat, grads):
+        for at in list(np.ndindex(p.shape))[:6]:
+            kept, ends = p[at], []
+            for move in (1e-6, -1e-6):
+                p[at] = kept + move
+                ends.append(loss())
+            p[at] = kept
+            assert math.isclose((ends[1] - ends[0]) / 2e-6, g[at], abs_tol=1e-5)
+
+
 def test_field_vocabulary_does_not_overlap(click_examples):
     _, users, items, _ = click_examples
     u, i = ctr.field_offsets(users, items)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,11 @@ HIDDEN = (128, 64)
 DEEP_BLOCK, NETWORK_CELLS = 1024, 2_000_000
 # Passes over the examples, and the rate that each number's accumulated squares scale down.
 EPOCHS, RATE = 10, 0.1
+DEEP_EPOCHS, DEEP_RATE = 15, 0.003
+# Decay of the network's running moments.
+MOMENTS = (0.9, 0.999)
+# Decimals of a mean gradient, and groups of tasks whose sums reach the driver.
+DIGITS, SUM_GROUPS = 12, 16
 BIAS = "bias"
 USER_FIELDS, ITEM_FIELDS = ("u0", "u1", "u2"), ("i0", "i1", "i2")
 
@@ -212,57 +218,107 @@ def deep_inputs(pairs: DataFrame, params: DataFrame, users: DataFrame, items: Da
     """Pairs with ``features``: the factor vectors of their six fields side by side."""
     u = _factors(users, "user_id", USER_FIELDS, params).withColumnRenamed("extra", "_u")
     i = _factors(items, "item_id", ITEM_FIELDS, params).withColumnRenamed("extra", "_i")
-    return (pairs.join(u, "user_id").join(i, "item_id")
-            .withColumn("features", array_to_vector(F.concat("_u", "_i"))).drop("_u", "_i"))
+    return pairs.join(u, "user_id").join(i, "item_id").withColumn("features", F.concat("_u", "_i")).drop("_u", "_i")
 
 
-def deep_fit(inputs: DataFrame, factors: int = FM_FACTORS, hidden: tuple[int, ...] = HIDDEN, iters: int = 50,
-             seed: int = 42):
-    """Multilayer perceptron on the factor vectors; its weights depend on the layer widths only."""
-    net = MultilayerPerceptronClassifier(layers=[6 * factors, *hidden, 2], maxIter=iters, seed=seed,
-                                         featuresCol="features", labelCol="label")
-    return net.fit(inputs.select("features", F.col("label").cast("double").alias("label")))
+Layers = list[tuple[np.ndarray, np.ndarray]]
 
 
-def network_layers(model) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(weights, intercepts) of a fitted network's layers; their size depends on the widths only."""
-    widths, flat, at, out = list(model.getLayers()), model.weights.toArray(), 0, []
-    for n_in, n_out in zip(widths, widths[1:]):
-        weights = flat[at:at + n_in * n_out].reshape(n_in, n_out)
-        out.append((weights, flat[at + n_in * n_out:at + (n_in + 1) * n_out]))
-        at += (n_in + 1) * n_out
+def first_layers(widths: tuple[int, ...], seed: int) -> Layers:
+    """(weights, intercepts) of each layer, uniform within one over the root of its inputs."""
+    rng = np.random.default_rng(seed)
+    return [tuple(rng.uniform(-n ** -0.5, n ** -0.5, size) for size in ((n, m), (m,))) for n, m in zip(widths, widths[1:])]
+
+
+def network_gradient(layers: Layers, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Downhill direction of the summed log loss, for each weight matrix and intercept in turn."""
+    values = [x]
+    for w, b in layers[:-1]:
+        values.append(np.maximum(values[-1] @ w + b, 0.0))
+    logit = (values[-1] @ layers[-1][0] + layers[-1][1])[:, 0]
+    back, out = (y - 1.0 / (1.0 + np.exp(-logit)))[:, None], []
+    for (w, _), v in zip(reversed(layers), reversed(values)):
+        out = [v.T @ back, back.sum(axis=0), *out]
+        back = (back @ w.T) * (v > 0)
     return out
 
 
-def network_scores(layers: list[tuple[np.ndarray, np.ndarray]], cells: int = NETWORK_CELLS) -> Extra:
+def deep_fit(inputs: DataFrame, factors: int = FM_FACTORS, hidden: tuple[int, ...] = HIDDEN, epochs: int = DEEP_EPOCHS,
+             lr: float = DEEP_RATE, seed: int = 42) -> Layers:
+    """A network with rectified hidden layers on ``features`` (user_id, item_id, features, label).
+
+    A step sums the gradient over all rows that a digest deals to it, and moves the weights by their mean
+    and its running moments. Means are rounded, so that the order of a sum does not show: the layers
+    depend neither on partitions nor on the order of rows. What comes to the driver is one sum a step,
+    as large as the layers.
+    """
+    rows = materialize(inputs.select("features", F.col("label").cast("double").alias("label"),
+                                     tr.stratum(F.col("user_id"), F.col("item_id")).alias("step")), "inputs")
+    layers = first_layers((6 * factors, *hidden, 1), seed)
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for layer in layers for p in layer]
+    done = 0
+    for _ in range(epochs):
+        for step in range(tr.STRATA):
+            total, n = _network_sums(rows.where(f"step = {step}").select("features", "label"), layers)
+            if not n:
+                continue
+            done += 1
+            flat = [p for layer in layers for p in layer]
+            at, new = 0, []
+            for p, (m, v) in zip(flat, moments):
+                g = np.round(total[at:at + p.size].reshape(p.shape) / n, DIGITS)
+                at += p.size
+                m += (1 - MOMENTS[0]) * (g - m)
+                v += (1 - MOMENTS[1]) * (g * g - v)
+                new.append(p + lr * (m / (1 - MOMENTS[0] ** done)) / (np.sqrt(v / (1 - MOMENTS[1] ** done)) + tr.LEAST))
+            layers = list(zip(new[::2], new[1::2]))
+    return layers
+
+
+def _network_sums(rows: DataFrame, layers: Layers) -> tuple[np.ndarray, int]:
+    """The summed gradient of all weights over the rows, and how many rows there are."""
+    def run(batches):
+        total, n = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+                part = np.concatenate([g.ravel() for g in network_gradient(layers, x, batch.column(1).to_numpy())])
+                total, n = part if total is None else total + part, n + batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["g", "n"])
+
+    parts = rows.mapInArrow(run, "g array<double>, n bigint").select(array_to_vector("g").alias("g"), "n")
+    # tasks meet in groups first, so that no task adds up the sums of all others
+    groups = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(SUM_GROUPS)).alias("k")).agg(Summarizer.sum(F.col("g")).alias("g"), F.sum("n").alias("n"))
+    found = groups.collect()                                     # at most SUM_GROUPS rows as large as the layers
+    return (np.sum([r["g"].toArray() for r in sorted(found, key=lambda r: r["k"])], axis=0) if found else np.empty(0),
+            sum(r["n"] for r in found))
+
+
+def network_scores(layers: Layers, cells: int = NETWORK_CELLS) -> Extra:
     """Adds the network's logit for every (user, item) of a block.
 
     The first layer is linear in the two sides' inputs, so each side is multiplied once; only its sum,
-    the activation and the smaller layers are per pair, for ``cells`` hidden values at a time.
+    the rectifier and the smaller layers are per pair, for ``cells`` hidden values at a time.
     """
     (first, first_b), *hidden, (last, last_b) = layers
-    out_w, out_b = last[:, 1] - last[:, 0], last_b[1] - last_b[0]
 
     def add(scores: np.ndarray, users: np.ndarray, items: np.ndarray) -> None:
         left = users @ first[:users.shape[1]] + first_b
         right = items @ first[users.shape[1]:]
         step = max(1, cells // max(1, right.size))
         for s in range(0, len(left), step):
-            x = _sigmoid(left[s:s + step, None, :] + right[None, :, :])
+            x = np.maximum(left[s:s + step, None, :] + right[None, :, :], 0.0)
             for w, b in hidden:
-                x = _sigmoid(x @ w + b)
-            scores[s:s + step] += x @ out_w + out_b
+                x = np.maximum(x @ w + b, 0.0)
+            scores[s:s + step] += (x @ last)[:, :, 0] + last_b[0]
 
     return add
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + np.tanh(0.5 * x))
-
-
-def deep_lists(model, base: tuple[DataFrame, DataFrame], params: DataFrame, users: DataFrame, items: DataFrame,
+def deep_lists(layers: Layers, base: tuple[DataFrame, DataFrame], params: DataFrame, users: DataFrame, items: DataFrame,
                train: DataFrame, n: int = TOP_N, block: int = DEEP_BLOCK) -> DataFrame:
     """Lists over all items by base score + network logit; every unseen (user, item) is scored."""
     u = base[0].join(_factors(users, "user_id", USER_FIELDS, params), "user_id")
     i = base[1].join(_factors(items, "item_id", ITEM_FIELDS, params), "item_id")
-    return blocked_topn(u, i, train, item_names(train), n, block=block, extra=network_scores(network_layers(model)))
+    return blocked_topn(u, i, train, item_names(train), n, block=block, extra=network_scores(layers))
