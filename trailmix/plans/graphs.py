@@ -11,9 +11,10 @@ from .inputs import events_train, stored_split, stored_train
 from .registry import longs, part, query, rounded
 
 CHAINS = 20
-TOP = 10
+TOP = graph.TOP_T
+# The click catalog is too small for ranks 500 to 2000: these ranks leave both the band and the uniform case.
 BAND = (20, 60)
-DIMS = (4, 4, 2)
+DIMS = (content.D_CATEGORY, content.D_NAME, content.D_CITY)
 
 
 def hexint(expr: str, start: int = 1) -> str:
@@ -148,7 +149,7 @@ WHERE (user_id, i.item_id) NOT IN (SELECT user_id, item_id FROM ckp) GROUP BY us
 part("ck_negs", f"""
 SELECT p.user_id, p.item_id, slot, CASE WHEN s0.item_id IS NULL THEN a0.item_id WHEN s1.item_id IS NULL THEN a1.item_id
   ELSE free[{draw_sql('p.user_id', 'p.item_id', 'slot', 2, 1, 42)} % len(free) + 1] END AS negative
-FROM ckp p, range(4) t(slot)
+FROM ckp p, range({negatives.N_NEGATIVES}) t(slot)
 JOIN ck_free f ON f.user_id = p.user_id
 JOIN ck_idx a0 ON a0.idx = {draw_sql('p.user_id', 'p.item_id', 'slot', 0, 1, 42)} % (SELECT count(*) FROM ck_idx)
 JOIN ck_idx a1 ON a1.idx = {draw_sql('p.user_id', 'p.item_id', 'slot', 1, 1, 42)} % (SELECT count(*) FROM ck_idx)
@@ -158,7 +159,7 @@ LEFT JOIN ckp s1 ON s1.user_id = p.user_id AND s1.item_id = a1.item_id""")
 
 def _click_negatives(spark, d):
     pairs = click_pairs(spark, d)
-    return pairs, negatives.sample_negatives(pairs, pairs, logs.distinct_values(pairs, "item_id"), 4)
+    return pairs, negatives.sample_negatives(pairs, pairs, logs.distinct_values(pairs, "item_id"))
 
 
 @query("sample_negatives", "SELECT user_id, item_id, CAST(slot AS INTEGER) AS slot, negative FROM ck_negs")
@@ -177,13 +178,13 @@ part("ckd", """
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC, seq DESC) AS rn FROM ck)
 WHERE rn = 1""")
 part("ck_pairs", f"""
-SELECT *, {draw_sql('user_id', 'pos', "'batch'", 42)} % (SELECT ceil(count(*) / 512)::BIGINT FROM ck_pairs0) AS batch FROM ck_pairs0""")
+SELECT *, {draw_sql('user_id', 'pos', "'batch'", 42)} % (SELECT ceil(count(*) / {negatives.BATCH})::BIGINT FROM ck_pairs0) AS batch FROM ck_pairs0""")
 part("ck_pairs0", """
 SELECT user_id, pos, q, i FROM (SELECT user_id, row_number() OVER w AS pos, lag(item_id) OVER w AS q, item_id AS i FROM ckd
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, seq)) WHERE q <> i""")
 part("em_idx", "SELECT vec_id AS item_id, embedding::DOUBLE[] AS z, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings")
 part("ck_bneg", f"""
-SELECT batch, slot, item_id AS negative FROM (SELECT DISTINCT batch FROM ck_pairs), range(8) t(slot)
+SELECT batch, slot, item_id AS negative FROM (SELECT DISTINCT batch FROM ck_pairs), range({negatives.N_SHARED}) t(slot)
 JOIN em_idx ON idx = {draw_sql('batch', 'slot', "'shared'", 42)} % (SELECT count(*) FROM em_idx)""")
 part("cg_hit", "SELECT src, count(*) AS n_hit FROM cg_ranked GROUP BY src")
 part("ck_slots", f"""
@@ -200,15 +201,18 @@ UNION ALL SELECT f.user_id, f.pos, f.q, f.i, f.slot, x.item_id FROM ck_far f JOI
 
 def click_batches(spark, d):
     pairs = sequences.consecutive_pairs(events_train(spark, d))
-    return materialize(negatives.with_batches(materialize(pairs), ["user_id", "pos"], 512))
+    return materialize(negatives.with_batches(materialize(pairs), ["user_id", "pos"]))
 
 
+# 500 rows a pair: the result says for each pair how many negatives it has and which, by their sum.
 @query("shared_negatives", """
-SELECT user_id, CAST(p.pos AS BIGINT) AS pos, q, i, CAST(batch AS BIGINT) AS batch, CAST(slot AS INTEGER) AS slot, negative
-FROM ck_pairs p JOIN ck_bneg USING (batch) WHERE negative <> i""")
+SELECT user_id, CAST(p.pos AS BIGINT) AS pos, q, i, CAST(batch AS BIGINT) AS batch, count(*) AS n_negatives,
+  CAST(sum(negative * (slot + 1)) AS BIGINT) AS negative_sum
+FROM ck_pairs p JOIN ck_bneg USING (batch) WHERE negative <> i GROUP BY ALL""")
 def shared_negatives(spark, d):
-    out = negatives.shared_negatives(click_batches(spark, d), tables.embeddings(spark, d), 8)
-    return longs(out, "pos", "batch")
+    out = longs(negatives.shared_negatives(click_batches(spark, d), tables.embeddings(spark, d)), "pos", "batch")
+    return out.groupBy("user_id", "pos", "q", "i", "batch").agg(
+        F.count("*").alias("n_negatives"), F.sum(F.col("negative") * (F.col("slot") + 1)).cast("bigint").alias("negative_sum"))
 
 
 def _hard(spark, d, pairs):
@@ -239,7 +243,7 @@ JOIN em_idx n ON n.item_id = h.negative WHERE h.negative <> p.i""")
 @query("margin_loss_eval", "SELECT round(sum(greatest(0, s - own + 0.1)) / count(*), 6) AS loss FROM z_neg")
 def margin_loss_eval(spark, d):
     pairs, vectors = click_batches(spark, d), tables.embeddings(spark, d)
-    shared = negatives.batch_items(pairs, vectors, 8)
+    shared = negatives.batch_items(pairs, vectors)
     return rounded(negatives.margin_loss(vectors, pairs, shared, _hard(spark, d, pairs)), "loss")
 
 
@@ -247,7 +251,7 @@ def margin_loss_eval(spark, d):
 SELECT round(-((SELECT avg(-ln(1 + exp(-own))) FROM z_pos) + (SELECT avg(-ln(1 + exp(s))) FROM z_neg WHERE NOT hard)), 6) AS loss""")
 def xent_loss_eval(spark, d):
     pairs, vectors = click_batches(spark, d), tables.embeddings(spark, d)
-    return rounded(negatives.xent_loss(vectors, pairs, negatives.batch_items(pairs, vectors, 8)), "loss")
+    return rounded(negatives.xent_loss(vectors, pairs, negatives.batch_items(pairs, vectors)), "loss")
 
 
 # ---- item content ------------------------------------------------------------------
@@ -331,7 +335,7 @@ def item_content_vector(spark, d):
 
 # ---- convolutions ------------------------------------------------------------------
 
-WEIGHTS = convolve.seeded_weights(sum(DIMS) + 5, dim=4, hidden=6)
+WEIGHTS = convolve.seeded_weights(sum(DIMS) + 5)
 
 
 def linear_sql(vec: str, matrix, bias=None, relu: bool = True) -> str:
@@ -394,9 +398,9 @@ for _pool in ("importance", "mean", "max"):
     query(f"convolve_{_pool}", long_sql(f"conv_{_pool}", "node"))(_convolved(_pool))
 
 
-@query("weighted_vector_sum", """
+@query("weighted_vector_sum", f"""
 SELECT src, CAST(d - 1 AS BIGINT) AS dim, round(sum(alpha * vec[d]) / sum(alpha), 6) + 0.0 AS x FROM pg_nbr JOIN h_0 ON node = dst,
-range(1, 16) t(d) GROUP BY src, d""")
+range(1, {sum(DIMS) + 6}) t(d) GROUP BY src, d""")
 def weighted_vector_sum(spark, d):
     vectors, nbr = _graph_inputs(spark, d)
     pooled = convolve.weighted_vector_sum(vectors.select(F.col("item_id").alias("node"), "vec"), nbr)

@@ -82,10 +82,10 @@ def top_n_names(spark, d):
     return list_columns(toplists.top_n_names(cands, fit, logs.item_names(fit)))
 
 
-@query("top_n_depth_limited", f"SELECT {LIST} FROM ({top_sql('cand_scores', where_depth=depth_sql(11))})")
+@query("top_n_depth_limited", f"SELECT {LIST} FROM ({top_sql('cand_scores', where_depth=depth_sql(30))})")
 def top_n_depth_limited(spark, d):
     fit, cands = _candidates(spark, d)
-    return list_columns(toplists.top_n_names(cands, fit, logs.item_names(fit), depth=11))
+    return list_columns(toplists.top_n_names(cands, fit, logs.item_names(fit), depth=30))
 
 
 # ---- similarities ------------------------------------------------------------------
@@ -176,7 +176,7 @@ ON e.user_id = t.user_id AND e.item_id = t.item_id"""
 
 
 @query("knn_pair_predict", f"""
-SELECT 'user' AS mode, user_id, item_id, round(score, 6) AS score FROM ({pair_sql('user_sim2', 'user_id', 'item_id', 10, 3)})
+SELECT 'user' AS mode, user_id, item_id, round(score, 6) AS score FROM ({pair_sql('user_sim2', 'user_id', 'item_id', 40, 6)})
 UNION ALL
 SELECT 'item' AS mode, user_id, item_id, round(score, 6) AS score FROM ({pair_sql('item_sim2', 'item_id', 'user_id', 30, 9)})""")
 def knn_pair_predict(spark, d):
@@ -184,7 +184,7 @@ def knn_pair_predict(spark, d):
     ratings = toplists.rated_pairs(fit)
     mu = logs.global_mean(fit).scalar()
     users = similarity.knn_predict_pairs(similarity.cosine_sim(ratings, "user_id", "item_id"),
-                                         ratings, test, mu, 10, 3, "user")
+                                         ratings, test, mu, 40, 6, "user")
     items = similarity.knn_predict_pairs(similarity.msd_sim(ratings, "item_id", "user_id"),
                                          ratings, test, mu, 30, 9, "item")
     return rounded(users.withColumn("mode", F.lit("user"))

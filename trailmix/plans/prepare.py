@@ -359,11 +359,11 @@ def recent_context(spark, d):
 
 @query("topk_neighbors_per_group", """
 SELECT item_id, user_id, rating, CAST(rn AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rating DESC, user_id) AS rn FROM trd) WHERE rn <= 10""")
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rating DESC, user_id) AS rn FROM trd) WHERE rn <= 40""")
 def topk_neighbors_per_group(spark, d):
     pairs = toplists.rated_pairs(train(spark, d))
     order = [F.col("rating").desc(), F.col("user_id").asc()]
-    return spread.first_per_group(pairs, ["item_id"], order, 10, rank="rank").select(
+    return spread.first_per_group(pairs, ["item_id"], order, 40, rank="rank").select(
         "item_id", "user_id", "rating", "rank")
 
 
