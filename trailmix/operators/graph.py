@@ -15,8 +15,8 @@ from .spread import first_per_group, positions, split_join
 # size and the deepest rank that is kept.
 N_WALKS, WALK_LEN, RESTART = 1000, 10, 0.5
 TOP_T, MAX_RANK = 50, 2000
-# Steps between two stored walker tables.
-STORE_EVERY = 5
+# Draws are 32 bits wide; the odd strides give the rows made from one draw numbers far apart.
+WORD, STRIDE, STRIDE_2 = 2 ** 32, 2654435761, 2246822519
 
 
 def adjacency(pairs: DataFrame, by: str) -> DataFrame:
@@ -36,45 +36,63 @@ def _part(digest: Column, i: int) -> Column:
     return F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint")
 
 
+def _dealt(rows: DataFrame, n: str, deg: str, first: str, place: str, share: str) -> DataFrame:
+    """``n`` walkers of a row dealt evenly over places 1..deg, from a drawn number 0 <= ``first`` < deg.
+
+    Walker j stands at j * deg + first on a line of n * deg numbers, n of them a place. Over all draws a
+    place expects n / deg walkers, and each time it gets that number rounded down or up. A row makes at most
+    min(n, deg) rows, none without a walker.
+    """
+    rows = rows.withColumn("_k", F.explode(F.expr(f"sequence(0L, least({n}, {deg}) - 1)")))
+    few = f"{n} < {deg}"
+    return rows.withColumns({
+        place: F.expr(f"if({few}, (_k * {deg} + {first}) div {n}, _k) + 1"),
+        share: F.expr(f"if({few}, 1L, ((_k + 1) * {n} - {first} + {deg} - 1) div {deg} - (_k * {n} - {first} + {deg} - 1) div {deg})")})
+
+
 def random_walks(pairs: DataFrame, n: int = N_WALKS, length: int = WALK_LEN, restart: float = RESTART,
                  seed: int = 42) -> DataFrame:
     """src, dst, visits of ``n`` chains per item over two-hop steps with restart.
 
-    A visit counts before the restart is drawn. Every draw is a digest of (source, chain,
-    step, seed), so a retried task walks the same way. An item without users reaches
-    nothing and has no row. Walkers join the edges on (node, drawn position): the load of
-    a popular node is spread over its neighbours.
+    Walkers are counted, not listed: a row holds how many chains of a source stand at an item. They are dealt
+    evenly over the neighbours from a drawn start, so every single chain walks uniformly while the chains of one
+    row spread out: the expected visits are those of independent chains, with less noise. A visit counts before
+    the restart is drawn. Draws are digests of (source, item, step, seed), so a retried task walks the same way.
+    An item without users reaches nothing and has no row. Walkers meet the edges on (node, place): the load of a
+    popular node is spread over its neighbours, and a source never has more than ``n`` rows.
     """
+    if n < 1:
+        raise ValueError("at least one chain is needed")
     spark = pairs.sparkSession
-    to_user = materialize(adjacency(pairs, "item_id"))
-    to_item = materialize(adjacency(pairs, "user_id"))
-    hop_user = to_user.select(F.col("node").alias("cur"), F.col("pos").alias("p1"),
+    to_user = materialize(adjacency(pairs, "item_id"), "to_user")
+    to_item = materialize(adjacency(pairs, "user_id"), "to_item")
+    hop_user = to_user.select(F.col("node").alias("cur"), F.col("pos").cast("bigint").alias("p1"),
                               F.col("nbr").alias("u"), F.col("nbr_deg").alias("u_deg"))
-    hop_item = to_item.select(F.col("node").alias("u"), F.col("pos").alias("p2"),
+    hop_item = to_item.select(F.col("node").alias("u"), F.col("pos").cast("bigint").alias("p2"),
                               F.col("nbr").alias("nxt"), F.col("nbr_deg").alias("nxt_deg"))
     threads = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if n < 1:
-        raise ValueError("at least one chain is needed")
-    chain = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    walkers = (to_user.where("pos = 1").select(F.col("node").alias("src"), F.col("deg").alias("src_deg"))
-               .repartition(threads, "src").select("src", "src_deg", chain.alias("chain"))
-               .select("*", F.col("src").alias("cur"), F.col("src_deg").alias("cur_deg"),
-                       F.array().cast(pairs.select(F.array("item_id")).schema[0].dataType).alias("visited")))
+    state = (to_user.where("pos = 1").repartition(threads, "node")
+             .select(F.col("node").alias("src"), F.col("deg").alias("src_deg"), F.col("node").alias("cur"), "deg",
+                     F.lit(n).cast("bigint").alias("n")))
+    steps = []
     for step in range(length):
-        walkers = (walkers.withColumn("_d", key_digest(F.col("src"), F.col("chain"), step, seed))
-                   .withColumn("p1", _part(F.col("_d"), 0) % F.col("cur_deg") + 1)
-                   .join(hop_user, ["cur", "p1"])
-                   .withColumn("p2", _part(F.col("_d"), 1) % F.col("u_deg") + 1)
-                   .join(hop_item, ["u", "p2"]))
-        back = _part(F.col("_d"), 2) < F.lit(int(restart * 2 ** 32))
-        walkers = walkers.select(
-            "src", "src_deg", "chain", F.when(back, F.col("src")).otherwise(F.col("nxt")).alias("cur"),
-            F.when(back, F.col("src_deg")).otherwise(F.col("nxt_deg")).alias("cur_deg"),
-            F.array_append("visited", F.col("nxt")).alias("visited"))
-        if (step + 1) % STORE_EVERY == 0 and step + 1 < length:
-            walkers = materialize(walkers, "walkers")
-    return (walkers.select("src", F.explode("visited").alias("dst"))
-            .groupBy("src", "dst").agg(F.count("*").alias("visits")))
+        digest = key_digest(F.col("src"), F.col("cur"), step, seed)
+        rows = state.where("n > 0").withColumn("_d", digest).withColumns(
+            {f"d{i}": _part(F.col("_d"), i) for i in range(3)}).drop("_d").withColumn("f1", F.col("d0") % F.col("deg"))
+        rows = _dealt(rows, "n", "deg", "f1", "p1", "n1").join(hop_user, ["cur", "p1"])
+        rows = rows.withColumn("f2", F.expr(f"(d1 + p1 * {STRIDE}) % {WORD} % u_deg"))
+        rows = _dealt(rows, "n1", "u_deg", "f2", "p2", "n2").join(hop_item, ["u", "p2"])
+        rows = rows.withColumn("back", F.expr(
+            f"(n2 * {int(restart * WORD)} + (d2 + p1 * {STRIDE} + p2 * {STRIDE_2}) % {WORD}) div {WORD}"))
+        ends = F.array(F.struct(F.col("nxt").alias("cur"), F.col("nxt_deg").alias("deg"), F.col("n2").alias("visits"),
+                                (F.col("n2") - F.col("back")).alias("n")),
+                       F.struct(F.col("src").alias("cur"), F.col("src_deg").alias("deg"), F.lit(0).cast("bigint").alias("visits"),
+                                F.col("back").alias("n")))
+        state = materialize(rows.select("src", "src_deg", F.inline(ends)).where("visits + n > 0").groupBy("src", "cur").agg(
+            F.max("src_deg").alias("src_deg"), F.max("deg").alias("deg"), F.sum("visits").alias("visits"), F.sum("n").alias("n")),
+            "walkers")
+        steps.append(state.where("visits > 0").select("src", F.col("cur").alias("dst"), "visits"))
+    return reduce(DataFrame.unionByName, steps).groupBy("src", "dst").agg(F.sum("visits").alias("visits"))
 
 
 def expected_visits(pairs: DataFrame, length: int = WALK_LEN, restart: float = RESTART,

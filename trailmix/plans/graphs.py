@@ -10,7 +10,7 @@ from ..sources import tables
 from .inputs import events_train, stored_split, stored_train
 from .registry import longs, part, query, rounded
 
-CHAINS = 20
+CHAINS = graph.N_WALKS
 TOP = graph.TOP_T
 # The click catalog is too small for ranks 500 to 2000: these ranks leave both the band and the uniform case.
 BAND = (20, 60)
@@ -27,23 +27,35 @@ def draw_sql(*keys) -> str:
 
 # ---- adjacency and walks -----------------------------------------------------------
 
+def dealt_sql(place: str) -> str:
+    """n walkers dealt evenly over deg places from number f, k counting the rows made."""
+    return (f"CASE WHEN n < deg THEN (k * deg + f) // n ELSE k END + 1 AS {place}, "
+            "CASE WHEN n < deg THEN 1 ELSE ((k + 1) * n - f + deg - 1) // deg - (k * n - f + deg - 1) // deg END AS share")
+
+
 def graph_parts(prefix: str, pairs: str) -> None:
     for side, node, nbr in (("gi", "item_id", "user_id"), ("gu", "user_id", "item_id")):
         part(f"{prefix}_{side}", f"""
 SELECT {node} AS node, row_number() OVER (PARTITION BY {node} ORDER BY {nbr}) AS pos, {nbr} AS nbr,
   count(*) OVER (PARTITION BY {node}) AS deg, count(*) OVER (PARTITION BY {nbr}) AS nbr_deg FROM {pairs}""")
     gi, gu = f"{prefix}_gi", f"{prefix}_gu"
-    part(f"{prefix}_walks", f"""
-WITH RECURSIVE w AS (
-  SELECT node AS src, deg AS src_deg, c AS chain, node AS cur, deg AS cur_deg, NULL::BIGINT AS dst, 0 AS step
-  FROM {gi}, range({CHAINS}) t(c) WHERE pos = 1
-  UNION ALL
-  SELECT src, src_deg, chain, CASE WHEN back THEN src ELSE nxt END, CASE WHEN back THEN src_deg ELSE nxt_deg END, nxt, step + 1
-  FROM (SELECT v.src, v.src_deg, v.chain, v.step, y.nbr AS nxt, y.nbr_deg AS nxt_deg, {hexint('d', 17)} < 2147483648 AS back
-    FROM (SELECT *, md5(concat_ws('|', src, chain, step, 42)) AS d FROM w WHERE step < 10) v
-    JOIN {gi} x ON x.node = v.cur AND x.pos = {hexint('d', 1)} % cur_deg + 1
-    JOIN {gu} y ON y.node = x.nbr AND y.pos = {hexint('d', 9)} % x.nbr_deg + 1))
-SELECT src, dst, count(*) AS visits FROM w WHERE step > 0 GROUP BY src, dst""")
+    part(f"{prefix}_w0", f"SELECT node AS src, deg AS src_deg, node AS cur, deg, 0 AS visits, {CHAINS} AS n FROM {gi} WHERE pos = 1")
+    for t in range(1, graph.WALK_LEN + 1):
+        part(f"{prefix}_w{t}", f"""
+SELECT src, cur, max(src_deg) AS src_deg, max(deg) AS deg, sum(visits)::BIGINT AS visits, sum(n)::BIGINT AS n FROM (
+  WITH a AS (SELECT src, src_deg, cur, deg, n, {hexint('d', 1)} % deg AS f, {hexint('d', 9)} AS d1, {hexint('d', 17)} AS d2
+    FROM (SELECT *, md5(concat_ws('|', src, cur, {t - 1}, 42)) AS d FROM {prefix}_w{t - 1} WHERE n > 0)),
+  b AS (SELECT *, {dealt_sql('p1')} FROM (SELECT *, unnest(range(least(n, deg))) AS k FROM a)),
+  c AS (SELECT b.src, b.src_deg, b.d2, b.p1, x.nbr AS u, b.share AS n, x.nbr_deg AS deg,
+    (b.d1 + b.p1 * {graph.STRIDE}) % {graph.WORD} % x.nbr_deg AS f FROM b JOIN {gi} x ON x.node = b.cur AND x.pos = b.p1),
+  e AS (SELECT *, {dealt_sql('p2')} FROM (SELECT *, unnest(range(least(n, deg))) AS k FROM c)),
+  g AS (SELECT e.src, e.src_deg, y.nbr AS nxt, y.nbr_deg AS nxt_deg, e.share,
+    (e.share * {graph.WORD // 2} + (e.d2 + e.p1 * {graph.STRIDE} + e.p2 * {graph.STRIDE_2}) % {graph.WORD}) // {graph.WORD} AS back
+    FROM e JOIN {gu} y ON y.node = e.u AND y.pos = e.p2)
+  SELECT src, src_deg, nxt AS cur, nxt_deg AS deg, share AS visits, share - back AS n FROM g
+  UNION ALL SELECT src, src_deg, src, src_deg, 0, sum(back) FROM g WHERE back > 0 GROUP BY 1, 2) GROUP BY src, cur""")
+    steps = " UNION ALL ".join(f"SELECT src, cur, visits FROM {prefix}_w{t} WHERE visits > 0" for t in range(1, graph.WALK_LEN + 1))
+    part(f"{prefix}_walks", f"SELECT src, cur AS dst, sum(visits) AS visits FROM ({steps}) GROUP BY src, cur")
     part(f"{prefix}_ranked", f"""
 SELECT src, dst, visits, row_number() OVER (PARTITION BY src ORDER BY visits DESC, dst) AS rank,
   count(*) OVER (PARTITION BY src) AS n_hit FROM {prefix}_walks WHERE src <> dst""")
