@@ -32,6 +32,39 @@ def test_walks_approach_the_expectation(small):
     assert fid[3].overlap > 0.6 and 0 < fid[3].mass_covered <= 1
 
 
+def test_walkers_are_dealt_evenly_and_none_is_lost(spark):
+    cases = [(n, deg, f) for n in (1, 2, 7, 30) for deg in (1, 3, 7, 11) for f in range(deg)]
+    rows = spark.createDataFrame(cases, "n bigint, deg bigint, f bigint")
+    got = {}
+    for r in graph._dealt(rows, "n", "deg", "f", "place", "share").collect():
+        assert (r.n, r.deg, r.f, r.place) not in got and 1 <= r.place <= r.deg and r.share >= 1
+        got[r.n, r.deg, r.f, r.place] = r.share
+    for n, deg, f in cases:
+        line = [(j * deg + f) // n + 1 for j in range(n)]
+        assert all(got.get((n, deg, f, p), 0) == line.count(p) and abs(line.count(p) - n / deg) < 1 for p in range(1, deg + 1))
+    for n, deg in {c[:2] for c in cases}:                       # over all draws each place expects the same
+        assert all(sum(got.get((n, deg, f, p), 0) for f in range(deg)) == n for p in range(1, deg + 1))
+
+
+def test_counted_walks_follow_the_expectation_closely(small):
+    exact = {(r.src, r.dst): r.mass for r in graph.expected_visits(small, length=6).collect()}
+    many = graph.random_walks(small, 1000, length=6)
+    walked = {(r.src, r.dst): r.visits for r in many.collect()}
+    assert set(walked) == set(exact)
+    assert all(sum(v for (s, _), v in walked.items() if s == i) == 6000 for i in {s for s, _ in walked})
+    assert max(abs(walked[k] / 1000 - v) for k, v in exact.items()) < 0.05
+    mean = dict.fromkeys(exact, 0.0)                            # single chains: no preference after many draws
+    for seed in range(3):
+        for r in graph.random_walks(small.repartition(1 + 6 * (seed % 2)), 80, length=6, seed=seed).collect():
+            mean[r.src, r.dst] += r.visits / 240
+    assert max(abs(mean[k] - v) for k, v in exact.items()) < 0.2
+
+
+def test_walks_do_not_depend_on_partitions(small):
+    first = rows_of(graph.random_walks(small.coalesce(1), 25, length=3), "src", "dst", "visits")
+    assert first == rows_of(graph.random_walks(small.repartition(7), 25, length=3), "src", "dst", "visits")
+
+
 def test_isolated_items_get_a_self_loop(spark):
     pairs = pairs_of(spark, [(1, 1), (1, 2), (2, 3)])
     items = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "item_id bigint")

@@ -85,9 +85,14 @@ def bipartite_adjacency(spark, d):
     return longs(sides[0].unionByName(sides[1]), "pos")
 
 
-@query("random_walk_visits", "SELECT src, dst, CAST(visits AS BIGINT) AS visits FROM pg_walks")
+# Thousands of rows an item: the result says for each source how far its chains came and what they counted.
+@query("random_walk_visits", """
+SELECT src, count(*) AS n_reached, CAST(sum(visits) AS BIGINT) AS visits, CAST(sum(visits * dst) AS BIGINT) AS dst_sum,
+  CAST(max(visits) AS BIGINT) AS most FROM pg_walks GROUP BY src""")
 def random_walk_visits(spark, d):
-    return graph.random_walks(purchase_pairs(spark, d), CHAINS)
+    return graph.random_walks(purchase_pairs(spark, d), CHAINS).groupBy("src").agg(
+        F.count("*").alias("n_reached"), F.sum("visits").alias("visits"),
+        F.sum(F.col("visits") * F.col("dst")).alias("dst_sum"), F.max("visits").alias("most"))
 
 
 part("ck_ci", "SELECT item_id, count(*) AS n FROM ckp GROUP BY item_id")
