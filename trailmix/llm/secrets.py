@@ -68,7 +68,6 @@ FORMATS = {
     "placeholder_2": ("api_key = ", "replace(w, ' ', '_')", " here", 0),
     "number": ("order ", "substr(d, 1, 18)", " of", 0),
     "long_number": ("id: ", "substr(d, 1, 24)", " of", 0),
-    "time": ("on ", "concat('20', substr(d, 1, 2), '-01-02T03:04:05.', substr(d, 3, 6), 'Z')", " at", 0),
     "stamp": ("log-", "concat('20', substr(d, 1, 6), '-', substr(d, 7, 6), '.', split(w, ' ')[0], '.log')", " at", 0),
     "unique_id": ("uuid ", "concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(h, 13, 4), '-', substr(h, 17, 4), '-', substr(h, 21, 12))", " row", 0),
     "digest": ("sha256: ", "substr(h, 1, 64)", " file", 0),
@@ -81,7 +80,7 @@ FOUND = ("start", "end", "kind", *FEATURES)
 
 
 def _described(x, words=()) -> Column:
-    """One candidate with the features that the forest sees and, where a strict rule is sure, its label."""
+    """One candidate with the features that the forest sees; ``words`` are the corpus' frequent ones."""
     value, before = x["value"], x["before"]
     size = F.char_length(value).cast("double")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / size
@@ -134,7 +133,7 @@ def planted(spark: SparkSession, words=(), formats=None, each: int = EACH, seed:
     rows = None
     for k, name in enumerate(FORMATS if formats is None else formats):
         before, value, after, label = FORMATS[name]
-        base = spark.range(each).select(F.sha2(F.concat_ws("|", "id", F.lit(name), F.lit(seed)), 512).alias("h"), "id")
+        base = spark.range(0, each, 1, 1).select(F.sha2(F.concat_ws("|", "id", F.lit(name), F.lit(seed)), 512).alias("h"), "id")
         picked = [F.element_at(pool, (draw(j) % F.size(pool) + 1).cast("int")) for j in range(4)]
         base = base.select("id", "h", F.concat_ws(" ", *picked).alias("w"), F.translate(F.base64(F.unhex("h")), "+/=", "x7").alias("b"),
                            F.translate("h", "abcdef", "130527").alias("d"))
