@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as tf
 from ..operators import generated, logs, sequences, spread, toplists
 from ..sources import store, tables
-from .inputs import log, split, train
+from .inputs import log, split, stored_train, train
 from .registry import longs, part, query, rounded
 
 EPOCH = "CAST(epoch(ts) AS BIGINT)"
@@ -74,7 +74,7 @@ FROM ex_rows WHERE pos > 3""")
 SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(pos AS BIGINT) AS pos, instruction, input, output FROM ex_txt""")
 def examples_io(spark, d):
     path = store.scratch_path(spark, "examples")
-    windows = sequences.sliding_examples(train(spark, d))
+    windows = sequences.sliding_examples(stored_train(spark, d))
     store.write_examples(sequences.instruction_examples(windows), path)
     return store.read_examples(spark, path)
 

@@ -15,6 +15,8 @@ ATTRIBUTE_COLUMNS = ("business_id", "business_name", "business_categories", "bus
                      "business_latitude", "business_longitude", "business_open")
 # Names of one stored list part; a longer history continues in the next part.
 LIST_PART = 4096
+# Examples in one file.
+EXAMPLES_FILE = 500_000
 
 EXAMPLE_SCHEMA = "user_id string, pos bigint, instruction string, input string, output string"
 RECS_SCHEMA = "user_id string, recs array<string>, recs_raw array<string>"
@@ -94,7 +96,9 @@ def read_histories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def write_examples(examples: DataFrame, path: str) -> None:
-    examples.select("user_id", "pos", "instruction", "input", "output").write.mode("overwrite").json(path)
+    """JSON lines; an example repeats most of its neighbour's names, so files are compressed, and each is of bounded size."""
+    (examples.select("user_id", "pos", "instruction", "input", "output").write.mode("overwrite")
+     .option("compression", "gzip").option("maxRecordsPerFile", EXAMPLES_FILE).json(path))
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
