@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +161,22 @@ def test_content_blocks(spark):
     assert nums[1].star == nums[2].star == 0.8 and nums[2].is_open == 1.0 and nums[1].degree > 0 > nums[2].degree
     vec = {r.item_id: r.vec for r in content.content_vectors(items, fit, dims=(4, 3, 2)).collect()}
     assert len(vec[1]) == len(vec[2]) == 14
+
+
+def test_many_edges_are_not_sent_to_all_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = spark.createDataFrame(sorted({(f"u{rng.randrange(30)}", f"i{rng.randrange(20)}") for _ in range(200)}),
+                                  "user_id string, item_id string")
+    plans, stored = [], graph.materialize
+
+    def recorded(df, name="stage"):
+        if name == "walkers":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    few = rows_of(graph.random_walks(pairs, 40, 3))
+    monkeypatch.setattr(graph, "FEW_EDGES", 100, raising=False)
+    monkeypatch.setattr(graph, "materialize", recorded)
+    many = rows_of(graph.random_walks(pairs, 40, 3))
+    assert many == few and sum(r[2] for r in many) == 40 * 3 * len({r[0] for r in many})
+    assert len(plans) == 3 and not any("Broadcast" in p for p in plans)
