@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -62,6 +63,31 @@ def test_counted_walks_follow_the_expectation_closely(small):
     assert max(abs(mean[k] - v) for k, v in exact.items()) < 0.2
 
 
+def test_expectation_of_a_dense_graph_meets_the_users_in_one_step_only(spark, monkeypatch):
+    rows = [(f"u{u}", f"i{i}") for u in range(30) for i in range(6) if (u * 7 + i * 3) % 5]
+    joins, real = [], graph.split_join
+    monkeypatch.setattr(graph, "split_join", lambda left, right, key, *a: joins.append(key) or real(left, right, key, *a))
+    got = {(r.src, r.dst): r.mass for r in graph.expected_visits(spark.createDataFrame(rows, "user_id string, item_id string"), 4).collect()}
+    assert joins.count(["user_id"]) == 1
+    users, items = defaultdict(list), defaultdict(list)
+    for u, i in rows:
+        users[u].append(i)
+        items[i].append(u)
+    for src in items:
+        state, total = {src: 1.0}, defaultdict(float)
+        for _ in range(4):
+            visit = defaultdict(float)
+            for i, mass in state.items():
+                for u in items[i]:
+                    for j in users[u]:
+                        visit[j] += mass / len(items[i]) / len(users[u])
+            state = {j: v / 2 + (0.5 if j == src else 0.0) for j, v in visit.items()}
+            for j, v in visit.items():
+                total[j] += v
+        assert {d for s, d in got if s == src} == set(total)
+        assert all(abs(got[src, j] - v) < 1e-9 for j, v in total.items())
+
+
 def test_walks_do_not_depend_on_partitions(small):
     first = rows_of(graph.random_walks(small.coalesce(1), 25, length=3), "src", "dst", "visits")
     assert first == rows_of(graph.random_walks(small.repartition(7), 25, length=3), "src", "dst", "visits")
