@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as tf
 from ..operators import generated, logs, sequences, spread, toplists
 from ..sources import store, tables
-from .inputs import log, split, stored_train, train
+from .inputs import log, stored_rows, stored_split, stored_train
 from .registry import longs, part, query, rounded
 
 EPOCH = "CAST(epoch(ts) AS BIGINT)"
@@ -28,7 +28,7 @@ def interactions(spark, d):
 SELECT i.item_id, r.name, r.categories, r.city, r.lat, r.lon, r.is_open
 FROM (SELECT DISTINCT item_id FROM tr) i LEFT JOIN items_raw r USING (item_id)""")
 def item_attributes(spark, d):
-    items = logs.distinct_values(train(spark, d), "item_id")
+    items = logs.distinct_values(stored_train(spark, d), "item_id")
     return logs.item_attributes(tables.parts(spark, d), items)
 
 
@@ -36,7 +36,7 @@ def item_attributes(spark, d):
 SELECT user_id, item_id, name, rating, {EPOCH} AS ts, rn = 1 AS held_out FROM coh_rn""")
 def splits_io(spark, d):
     path = store.scratch_path(spark, "split")
-    store.write_split(*split(spark, d), path)
+    store.write_split(*stored_split(spark, d), path)
     fit, test = store.read_split(spark, path)
     rows = (fit.withColumn("held_out", F.lit(False))
             .unionByName(test.withColumn("held_out", F.lit(True))))
@@ -55,7 +55,7 @@ SELECT user_id, CAST(pos AS BIGINT) AS pos, name FROM seqs
 UNION ALL SELECT user_id, CAST(0 AS BIGINT) AS pos, name FROM te""")
 def histories_io(spark, d):
     path = store.scratch_path(spark, "histories")
-    fit, test = split(spark, d)
+    fit, test = stored_split(spark, d)
     store.write_histories(logs.ordered_history(fit), test, path)
     history, held = store.read_histories(spark, path)
     return longs(history.unionByName(held.withColumn("pos", F.lit(0))), "pos")
@@ -120,7 +120,7 @@ part("fit_mean", "SELECT avg(rating) AS mu FROM fit")
 SELECT item_id, CAST(greatest(1, least(11, round_even(2 * coalesce(m, (SELECT mu FROM tr_mean)), 0) - 1)) AS INTEGER) AS bucket
 FROM (SELECT p_partkey AS item_id FROM part) LEFT JOIN (SELECT item_id, avg(rating) AS m FROM trd GROUP BY item_id) USING (item_id)""")
 def star_bucket(spark, d):
-    fit = train(spark, d)
+    fit = stored_train(spark, d)
     items = tables.parts(spark, d).select("item_id").join(logs.item_stats(fit), "item_id", "left")
     return items.select("item_id", tf.star_bucket(F.col("mean_rating"), logs.global_mean(fit).scalar()).alias("bucket"))
 
@@ -177,12 +177,12 @@ def cohort_filter(spark, d):
 
 @query("split_anti", f"SELECT user_id, item_id, name, rating, {EPOCH} AS ts FROM tr")
 def split_anti(spark, d):
-    return with_epoch(train(spark, d).drop("seq"))
+    return with_epoch(stored_train(spark, d).drop("seq"))
 
 
 @query("item_name_lookup", "SELECT user_id, item_id, n.name FROM seen_pairs JOIN item_nm n USING (item_id)")
 def item_name_lookup(spark, d):
-    fit = train(spark, d)
+    fit = stored_train(spark, d)
     return fit.select("user_id", "item_id").distinct().join(logs.item_names(fit), "item_id")
 
 
@@ -190,15 +190,15 @@ def item_name_lookup(spark, d):
 SELECT user_id, item_id FROM (SELECT DISTINCT user_id, item_id FROM coh)
 EXCEPT SELECT user_id, item_id FROM tr""")
 def seen_mask(spark, d):
-    rows = log(spark, d)
-    return toplists.mask_seen(rows.select("user_id", "item_id").distinct(), logs.leave_one_out(rows)[0])
+    rows, fit, _ = stored_rows(spark, d)
+    return toplists.mask_seen(rows.select("user_id", "item_id").distinct(), fit)
 
 
 @query("seen_name_mask", """
 SELECT user_id, lower(name) AS name FROM te
 EXCEPT SELECT user_id, lower(name) FROM tr""")
 def seen_name_mask(spark, d):
-    fit, test = split(spark, d)
+    fit, test = stored_split(spark, d)
     held = test.select("user_id", tf.norm_name(F.col("name")).alias("name"))
     return toplists.mask_seen_names(held, generated.history_names(fit))
 
@@ -207,7 +207,7 @@ def seen_name_mask(spark, d):
 WITH u AS MATERIALIZED (SELECT DISTINCT user_id FROM tr), i AS MATERIALIZED (SELECT DISTINCT item_id FROM tr)
 SELECT te.user_id, te.item_id, te.rating FROM te JOIN u ON te.user_id = u.user_id JOIN i ON te.item_id = i.item_id""")
 def known_pairs(spark, d):
-    fit, test = split(spark, d)
+    fit, test = stored_split(spark, d)
     return logs.known_pairs(test, fit).select("user_id", "item_id", "rating")
 
 
@@ -216,7 +216,7 @@ SELECT CAST(count(*) AS BIGINT) AS n_test, CAST(count(*) FILTER (cold) AS BIGINT
   round(avg(cold::INT), 6) AS cold_share, round(1 - avg(cold::INT), 6) AS hit_ceiling
 FROM (SELECT lower(name) NOT IN (SELECT lower(name) FROM tr) AS cold FROM te)""")
 def cold_targets(spark, d):
-    fit, test = split(spark, d)
+    fit, test = stored_split(spark, d)
     return rounded(logs.cold_targets(test, fit), "cold_share", "hit_ceiling")
 
 
@@ -244,8 +244,7 @@ SELECT CAST((SELECT count(DISTINCT user_id) FROM coh) AS BIGINT) AS users,
   CAST(count(*) AS BIGINT) AS examples, round(avg(length(input)), 6) AS input_len_mean,
   CAST(max(length(input)) AS BIGINT) AS input_len_max FROM ex_txt""")
 def dataset_summary(spark, d):
-    rows = log(spark, d)
-    fit, test = logs.leave_one_out(rows)
+    rows, fit, test = stored_rows(spark, d)
     examples = sequences.instruction_examples(sequences.sliding_examples(fit))
     out = logs.dataset_summary(rows, fit, test, examples)
     return longs(rounded(out, "input_len_mean"), "input_len_max")
@@ -256,7 +255,7 @@ SELECT 'item' AS side, item_id AS id, CAST(count(*) AS BIGINT) AS n, round(avg(r
 UNION ALL
 SELECT 'user' AS side, user_id AS id, CAST(count(*) AS BIGINT) AS n, round(avg(rating), 6) AS mean_rating FROM trd GROUP BY user_id""")
 def item_stats(spark, d):
-    fit = train(spark, d)
+    fit = stored_train(spark, d)
     items = logs.item_stats(fit).select(F.lit("item").alias("side"), F.col("item_id").alias("id"),
                                         F.col("n_raters").alias("n"), "mean_rating")
     users = logs.user_stats(fit).select(F.lit("user").alias("side"), F.col("user_id").alias("id"),
@@ -266,18 +265,18 @@ def item_stats(spark, d):
 
 @query("global_mean", "SELECT round(mu, 6) AS mu FROM tr_mean")
 def global_mean(spark, d):
-    return rounded(logs.global_mean(train(spark, d)), "mu")
+    return rounded(logs.global_mean(stored_train(spark, d)), "mu")
 
 
 @query("ordered_history", "SELECT user_id, CAST(pos AS BIGINT) AS pos, item_id, name FROM seqs")
 def ordered_history(spark, d):
-    return longs(logs.ordered_history(train(spark, d)).select("user_id", "pos", "item_id", "name"), "pos")
+    return longs(logs.ordered_history(stored_train(spark, d)).select("user_id", "pos", "item_id", "name"), "pos")
 
 
 @query("l1_normalize", """
 SELECT user_id, item_id, round(rating / sum(rating) OVER (PARTITION BY user_id), 6) AS weight FROM trd""")
 def l1_normalize(spark, d):
-    pairs = toplists.rated_pairs(train(spark, d))
+    pairs = toplists.rated_pairs(stored_train(spark, d))
     out = logs.l1_normalize(pairs, ["user_id"], "rating", "weight")
     return rounded(out.select("user_id", "item_id", "weight"), "weight")
 
@@ -292,7 +291,7 @@ def l2_normalize(spark, d):
 
 @query("dedupe_pairs_last", f"SELECT user_id, item_id, name, rating, {EPOCH} AS ts FROM trd")
 def dedupe_pairs_last(spark, d):
-    return with_epoch(logs.dedupe_last(train(spark, d)).drop("seq"))
+    return with_epoch(logs.dedupe_last(stored_train(spark, d)).drop("seq"))
 
 
 @query("dedupe_first", f"""
@@ -306,13 +305,13 @@ def dedupe_first(spark, d):
 
 @query("leave_one_out", f"SELECT user_id, item_id, name, rating, {EPOCH} AS ts FROM te")
 def leave_one_out(spark, d):
-    return with_epoch(split(spark, d)[1].drop("seq"))
+    return with_epoch(stored_split(spark, d)[1].drop("seq"))
 
 
 @query("validation_split", f"""
 SELECT user_id, item_id, rating, {EPOCH} AS ts, rn = 1 AS held_out FROM trd_rn""")
 def validation_split(spark, d):
-    fit, valid = logs.validation_split(train(spark, d))
+    fit, valid = logs.validation_split(stored_train(spark, d))
     rows = (fit.withColumn("held_out", F.lit(False))
             .unionByName(valid.withColumn("held_out", F.lit(True))))
     return with_epoch(rows.drop("seq", "name"))
@@ -322,7 +321,7 @@ def validation_split(spark, d):
 SELECT user_id, CAST(pos AS BIGINT) AS pos, CAST(len(ctx) AS INTEGER) AS ctx_len, array_to_string(ctx, '|') AS ctx, target
 FROM ex_rows WHERE pos > 3""")
 def sliding_examples(spark, d):
-    rows = sequences.sliding_examples(train(spark, d))
+    rows = sequences.sliding_examples(stored_train(spark, d))
     return longs(rows.select("user_id", "pos", F.size("context").alias("ctx_len"),
                              F.array_join("context", "|").alias("ctx"), "target"), "pos")
 
@@ -335,7 +334,7 @@ SELECT user_id, pos, q, i FROM (
 
 @query("consecutive_pairs", "SELECT user_id, CAST(pos AS BIGINT) AS pos, q, i FROM pairs_qi")
 def consecutive_pairs(spark, d):
-    return longs(sequences.consecutive_pairs(train(spark, d)), "pos")
+    return longs(sequences.consecutive_pairs(stored_train(spark, d)), "pos")
 
 
 part("recent20", """
@@ -347,13 +346,13 @@ SELECT user_id, item_id, name, rn AS recency FROM (
 SELECT user_id, item_id, CAST(rn AS INTEGER) AS recency FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM trd) WHERE rn <= 20""")
 def recent_items(spark, d):
-    return sequences.recent_items(train(spark, d))
+    return sequences.recent_items(stored_train(spark, d))
 
 
 @query("recent_context", """
 SELECT user_id, string_agg(name, '|' ORDER BY recency DESC) AS ctx FROM recent20 WHERE recency <= 15 GROUP BY user_id""")
 def recent_context(spark, d):
-    rows = sequences.recent_context(train(spark, d))
+    rows = sequences.recent_context(stored_train(spark, d))
     return rows.select("user_id", F.array_join("context", "|").alias("ctx"))
 
 
@@ -361,7 +360,7 @@ def recent_context(spark, d):
 SELECT item_id, user_id, rating, CAST(rn AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rating DESC, user_id) AS rn FROM trd) WHERE rn <= 40""")
 def topk_neighbors_per_group(spark, d):
-    pairs = toplists.rated_pairs(train(spark, d))
+    pairs = toplists.rated_pairs(stored_train(spark, d))
     order = [F.col("rating").desc(), F.col("user_id").asc()]
     return spread.first_per_group(pairs, ["item_id"], order, 40, rank="rank").select(
         "item_id", "user_id", "rating", "rank")
@@ -372,7 +371,7 @@ WITH l AS (SELECT user_id, max(ts) FILTER (rn = 1) AS last_ts, max(ts) FILTER (r
 SELECT CAST(median(date_diff('day', prev_ts, last_ts)) AS DOUBLE) AS validation_gap_days,
   CAST(median(date_diff('day', last_ts, te.ts)) AS DOUBLE) AS test_gap_days FROM l LEFT JOIN te USING (user_id)""")
 def gap_days(spark, d):
-    fit, test = split(spark, d)
+    fit, test = stored_split(spark, d)
     return sequences.gap_days(fit, test)
 
 
@@ -389,7 +388,7 @@ def stable_sort(spark, d):
 @query("sample_examples", """
 SELECT user_id, CAST(pos AS BIGINT) AS pos, output FROM ex_txt ORDER BY md5(concat_ws('|', user_id, pos, 42)) LIMIT 3000""")
 def sample_examples(spark, d):
-    examples = sequences.instruction_examples(sequences.sliding_examples(train(spark, d)))
+    examples = sequences.instruction_examples(sequences.sliding_examples(stored_train(spark, d)))
     picked = logs.sample_rows(examples.select("user_id", "pos", "output"), ["user_id", "pos"], 3000)
     return longs(picked, "pos")
 
@@ -424,4 +423,4 @@ def distinct_values(spark, d):
 SELECT user_id, CAST(count(DISTINCT item_id) AS BIGINT) AS n_seen,
   CAST((SELECT count(DISTINCT item_id) FROM tr) - count(DISTINCT item_id) AS BIGINT) AS n_unseen FROM tr GROUP BY user_id""")
 def unseen_items(spark, d):
-    return longs(toplists.open_item_counts(train(spark, d)), "n_unseen")
+    return longs(toplists.open_item_counts(stored_train(spark, d)), "n_unseen")
